@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import chat_format, exact_dedup, url_filter
+from sparkmill.llm import chat_format, exact_dedup, packing, repetition, token_count, url_filter
 from sparkmill.llm.common import read
 from sparkmill.llm.sql import ORACLE_SQL
 
@@ -33,8 +33,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES)
 
 
+def vocabulary() -> str:
+    """Path of the byte-level BPE file that is installed on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(read(spark, sf_dir, "documents"), vocabulary())
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge_repetition(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_token_count": op6_token_count,
     "op7_preference_chat": op7_preference_chat,
+    "op8_packing": op8_packing,
+    "op9_repetition": op9_repetition,
     "op10_url_filter": op10_url_filter,
 }
