@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import chat_format, exact_dedup, packing, repetition, token_count, url_filter
+from sparkmill.llm import chat_format, exact_dedup, near_dedup, packing, repetition, token_count, url_filter
 from sparkmill.llm.common import read
 from sparkmill.llm.sql import ORACLE_SQL
 
@@ -17,6 +17,10 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 LISTED_LABELS = ["spam-farm", "cheap-pills", "ads-track"]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_count": op6_token_count,
     "op7_preference_chat": op7_preference_chat,
