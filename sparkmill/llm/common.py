@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Functions travel to the executors by value, so these need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules["sparkmill"])
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _made: list[tuple[SparkSession, str]] = []
 

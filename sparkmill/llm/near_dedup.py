@@ -9,10 +9,12 @@ probability (1 - (1 - s**2) ** 12) ** 2: 0.9999 at 0.75.
 Copies: rows with equal shingle sets are one class from the start. Elements
 that no other class shares take no part in any pair of keys and are left out
 before keys are formed. In a bucket, all members are tried against one pivot
-first; links are contracted to components, and buckets that still hold several
-components try more pivots, eight times as many each round, only across
-components, until every pair across components has been tried. No bucket is
-gathered in a task, and none is capped.
+first, and links are contracted to components. For classes in buckets that
+still hold several components, the shingles that no other such class has are
+counted: the rest bounds every intersection, which rules out most pairs
+exactly. The pairs that remain are tried against more pivots, eight times as
+many each round and only across components, until all have been tried. No
+bucket is gathered in a task, and none is capped.
 
 Defined results: null text, or text without words, has the empty set and is
 linked with nothing; fewer words than a shingle make one shingle; a null id
@@ -89,17 +91,24 @@ def full_sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def confirmed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(p, m, left, right) to the pairs (p, m) whose sets are similar enough."""
+    """(p, m, left, right) to (p, m, common, linked): the size of the intersection, and whether it is enough."""
     for batch in batches:
-        good = []
+        common, linked = [], []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
-            both = np.concatenate([x, y])
+            both = np.concatenate([np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)])
             both.sort()
             inside = int(np.count_nonzero(both[1:] == both[:-1]))
-            good.append(100 * inside >= percent * (len(both) - inside))
-        mask = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["p", "m"])
+            common.append(inside)
+            linked.append(100 * inside >= percent * (len(both) - inside))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["p", "m", "common", "linked"])
+
+
+def as_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, shingles as bytes) to (id, shingles as a list of longs)."""
+    for batch in batches:
+        parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], ["id", "shingles"])
 
 
 def _order(c: Column) -> Column:
@@ -117,6 +126,10 @@ class _Linker:
         """Set sizes that allow the similarity: exact, as the smaller set bounds the intersection."""
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
+    def _reach(self, inside: Column, total: Column) -> Column:
+        """Whether ``inside`` common shingles can be enough for sets of ``total`` shingles together."""
+        return (100 + self.percent) * inside >= self.percent * total
+
     def buckets(self, classes: DataFrame) -> DataFrame:
         """(bucket, cls, n, spot, pivot) of buckets with two or more classes; of equal buckets one stays."""
         put = self.scratch.put
@@ -148,37 +161,80 @@ class _Linker:
         left = self.sets.select(F.col("id").alias("__p"), F.col("shingles").alias("left"))
         one = self.scratch.put(pairs.join(right, F.col("m") == F.col("__m")).select("p", "m", "right"), "pairs")
         both = one.join(left, F.col("p") == F.col("__p")).select("p", "m", "left", "right")
-        links = self.scratch.put(both.mapInArrow(lambda batches: confirmed(percent, batches), "p long, m long"), "confirmed")
+        tried = self.scratch.put(both.mapInArrow(lambda batches: confirmed(percent, batches), "p long, m long, common long, linked boolean"), "confirmed")
         self.scratch.free(one)
-        return links.select(F.col("p").alias("u"), F.col("m").alias("v"))
+        return tried
+
+    @staticmethod
+    def links_of(tried: DataFrame) -> DataFrame:
+        return tried.where("linked").select(F.col("p").alias("u"), F.col("m").alias("v"))
 
     def link(self, members: DataFrame) -> DataFrame:
-        """(node, root) of all classes that are linked."""
+        """(node, root) of all classes that are linked.
+
+        With the bucket's pivot P, two members share at most min(|X & P|, |Y & P|)
+        plus min(x, y), where x and y count shingles outside P that another
+        undecided class or pivot has too. The first round gives |X & P| for every member.
+        """
         put = self.scratch.put
         first = members.where((F.col("cls") != F.col("pivot")) & self._close("n", "pivot_n")).select(F.col("pivot").alias("p"), F.col("cls").alias("m")).distinct()
         first = put(first, "first")
-        links = self.confirm(first)
+        tried = self.confirm(first)
+        links = self.links_of(tried)
         roots = components(links, self.scratch)
+        # The pivot of a bucket has been tried with all its members; the others remain.
+        rest = self.undecided(members.where("cls <> pivot").select("bucket", "cls", "n", "spot", "pivot"), roots)
+        shared = self.shared_sizes(rest)
+        known = tried.select(F.col("p").alias("__p"), F.col("m").alias("__m"), "common")
+        rest = rest.join(shared, F.col("cls") == F.col("__id")).join(known, (F.col("pivot") == F.col("__p")) & (F.col("cls") == F.col("__m")), "left")
+        # Without a known intersection (sizes too far from the pivot's), c alone bounds both parts.
+        rest = put(rest.select("bucket", "cls", "n", "spot", "c", F.coalesce("common", "c").alias("near"), F.coalesce(F.greatest(F.col("c") - F.col("common"), F.lit(0)), "c").alias("far")), "bounded")
+        smallest = put(rest.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("n").alias("least")), "smallest")
+        other = F.greatest(F.col("least"), F.ceil(F.col("n") * self.percent / 100))
+        rest = put(rest.join(smallest, F.col("bucket") == F.col("__bucket")).where(self._reach(F.col("c"), F.col("n") + other)).drop("__bucket", "least"), "able")
+        # A pair is tried in the first of the buckets it shares (a class is in elements ** 2 at most).
+        homes = put(rest.groupBy(F.col("cls").alias("__cls")).agg(F.sort_array(F.collect_list("bucket")).alias("homes")), "homes")
+        rest = rest.join(homes, F.col("cls") == F.col("__cls")).drop("__cls")
         reach = GROWTH
         while True:
-            state = put(members.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "n", "spot", "pivot", F.coalesce("root", "cls").alias("root")), "state")
-            mixed = put(state.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("__bucket", "size"), "mixed")
-            most = mixed.agg(F.max("size")).first()[0]
+            rest = self.undecided(rest, roots)
+            most = rest.agg(F.max("size")).first()[0]
             if most is None:
                 return roots
-            # The pivot of the first round has been tried with all; the others of the bucket remain.
-            rest = put(state.where("cls <> pivot").join(mixed, F.col("bucket") == F.col("__bucket")).select("bucket", "cls", "n", "spot", "root", (F.col("spot") * F.col("size")).alias("place")), "rest")
-            pivots = rest.where((F.col("place") >= (0 if reach == GROWTH else reach // GROWTH)) & (F.col("place") < reach))
-            pivots = put(pivots.select(F.col("bucket").alias("__b"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("spot").alias("pspot"), F.col("root").alias("proot")), "pivots")
+            place = F.col("spot") * F.col("size")
+            pivots = rest.where((place >= (0 if reach == GROWTH else reach // GROWTH)) & (place < reach))
+            pivots = put(pivots.select(F.col("bucket").alias("__b"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("near").alias("pnear"), F.col("far").alias("pfar"), F.col("spot").alias("pspot"), F.col("root").alias("proot"), F.col("homes").alias("phomes")), "pivots")
             later = (F.col("spot") > F.col("pspot")) | ((F.col("spot") == F.col("pspot")) & (F.col("cls") > F.col("p")))
-            tried = rest.join(pivots, (F.col("bucket") == F.col("__b")) & (F.col("root") != F.col("proot")) & later & self._close("n", "pn"))
+            inside = F.least(F.least("c", "pc"), F.least("near", "pnear") + F.least("far", "pfar"))
+            able = self._close("n", "pn") & self._reach(inside, F.col("n") + F.col("pn"))
+            here = F.array_min(F.array_intersect("homes", "phomes")) == F.col("bucket")
+            tried = rest.join(pivots, (F.col("bucket") == F.col("__b")) & (F.col("root") != F.col("proot")) & later & able & here)
             pairs = put(tried.select("p", F.col("cls").alias("m")).distinct(), "round")
-            links = put(links.unionByName(self.confirm(pairs)), "links")
+            links = put(links.unionByName(self.links_of(self.confirm(pairs))), "links")
             roots = components(links, self.scratch)
             if most <= reach:
                 return roots
+            rest = rest.drop("root", "size")
             reach *= GROWTH
 
+    def undecided(self, rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of buckets with several components, with their root and the bucket's size."""
+        state = self.scratch.put(rows.join(roots, F.col("cls") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "cls").alias("root")), "state")
+        mixed = self.scratch.put(state.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("__bucket", "size"), "mixed")
+        return self.scratch.put(state.join(mixed, F.col("bucket") == F.col("__bucket")).drop("__bucket"), "rest")
+
+    def shared_sizes(self, rest: DataFrame) -> DataFrame:
+        """(__id, c): how many shingles of each class any other undecided class or pivot has too.
+
+        No partner can share more than that, which rules out most pairs exactly.
+        """
+        wanted = self.scratch.put(rest.select(F.explode(F.array("cls", "pivot")).alias("__cls")).distinct(), "undecided")
+        listed = self.sets.join(wanted, F.col("id") == F.col("__cls"), "left_semi").mapInArrow(as_lists, "id long, shingles array<long>")
+        alone = listed.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+        alone = alone.groupBy(F.col("id").alias("__alone")).agg(F.count("*").alias("u"))
+        sizes = self.sets.join(wanted, F.col("id") == F.col("__cls"), "left_semi").groupBy("id").agg(F.max(F.octet_length("shingles") / 8).cast("long").alias("n"))
+        return self.scratch.put(sizes.join(alone, F.col("id") == F.col("__alone"), "left").select(F.col("id").alias("__id"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("c")), "shared-sizes")
+
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, elements: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkmill.llm import common  # noqa: F401 - sets how functions travel
 from sparkmill.llm.textkit import U, Slice, mix, owners, per_doc, slices
 
 #: Words per n-gram, and the largest share of characters inside repeated ones.

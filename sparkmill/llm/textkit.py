@@ -59,10 +59,10 @@ class Slice:
         self.first, self.data, self.off = first, data, off
         self.n = len(off) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of words, and where each document's words begin (one more than documents)."""
         data, off = self.data, self.off
-        sep = SEPARATOR[data]
+        sep = separator[data]
         begins = np.zeros(len(data) + 1, bool)
         begins[off] = True
         begins = begins[:-1]

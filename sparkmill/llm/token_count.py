@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkmill.llm import common  # noqa: F401 - sets how functions travel
+from sparkmill.llm.bpe import count_batches
+
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
@@ -18,8 +21,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     """
 
     def run(batches):
-        from sparkmill.llm.bpe import count_batches
-
         return count_batches(vocabulary, batches)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
