@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import chat_format, exact_dedup, near_dedup, packing, repetition, token_count, url_filter
+from sparkmill.llm import chat_format, exact_dedup, language, near_dedup, packing, repetition, token_count, toxicity, url_filter
 from sparkmill.llm.common import read
 from sparkmill.llm.sql import ORACLE_SQL
 
@@ -21,6 +21,19 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(language.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    net = language.train(docs.where(~held_out))
+    return language.identify(docs, net).withColumn("held_out", held_out)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.coalesce(language.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return toxicity.score(docs, toxicity.train(docs, labels.where(~held_out))).withColumn("held_out", held_out)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(read(spark, sf_dir, "documents"))
 
@@ -58,6 +71,8 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_count": op6_token_count,
     "op7_preference_chat": op7_preference_chat,
