@@ -76,3 +76,19 @@ def ascii_lower(c: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the ids in ``gone`` (one long column ``doc_id``); rows with a null id stay.
+
+    A Bloom filter of the ids is broadcast: rows that miss it pass straight
+    through, and only possible hits are shuffled for the exact test.
+    """
+    from sparkmill.llm import bloom
+
+    scratch = Scratch(docs.sparkSession, "drop")
+    gone = scratch.put(gone.select(F.col("doc_id").alias("__gone")).where("__gone IS NOT NULL").distinct(), "ids")
+    blocks = scratch.put(bloom.build(gone.withColumn("__h", F.xxhash64("__gone")), "__h", bloom.DEFAULT_BITS), "blocks")
+    rows = bloom.probe(docs, F.xxhash64(F.col(id_col).cast("long")), blocks, bloom.DEFAULT_BITS, "__maybe")
+    stays = rows.where("__maybe").join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return rows.where("NOT __maybe").select(*docs.columns).unionByName(stays.select(*docs.columns))

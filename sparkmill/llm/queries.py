@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import chat_format, exact_dedup, language, near_dedup, packing, repetition, token_count, toxicity, url_filter
+from sparkmill.llm import chat_format, exact_dedup, language, mixing, near_dedup, packing, repetition, token_count, toxicity, url_filter
 from sparkmill.llm.common import read
 from sparkmill.llm.sql import ORACLE_SQL
 
 #: The rules of the URL contract: (verdict, host, path).
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+#: No source is repeated more often than this in the mix.
+REPETITION_LIMIT = 1.25
 #: Pages of these hosts make up the block list of canonical URLs.
 LISTED_LABELS = ["spam-farm", "cheap-pills", "ads-track"]
 
@@ -50,6 +52,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(read(spark, sf_dir, "documents"), repetition_limit=REPETITION_LIMIT).plan()
+
+
 def vocabulary() -> str:
     """Path of the byte-level BPE file that is installed on every machine."""
     import public_tokenizers
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_mixing": op5_mixing,
     "op6_token_count": op6_token_count,
     "op7_preference_chat": op7_preference_chat,
     "op8_packing": op8_packing,
