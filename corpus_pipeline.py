@@ -16,8 +16,8 @@ from sparkmill.llm import exact_dedup, language, mixing, near_dedup, packing
 from sparkmill.llm.common import Scratch, drop_ids
 from sparkmill.llm.queries import REPETITION_LIMIT, vocabulary
 
-#: A document goes when it has no letter, or when no language has half of its probability.
-LEAST_SURE = 0.5
+#: A document goes when it has no letter, or when no language has LEAST_SURE of its probability.
+LEAST_SURE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
