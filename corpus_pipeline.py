@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack),
 ]
 
-#: Language identification, mixing and packing are not SQL; the tests hold run() against a brute-force version.
+#: Language identification, mixing and packing are not SQL. Its stages are tested one by one; run() as a whole is not yet.
 ORACLE_SQL: str | None = None
 
 
