@@ -45,6 +45,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if _is_stars(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        big = scratch.put(_oriented(_large_star(now, scratch)), "large")
+        big = scratch.put(_large_star(now, scratch), "large")  # repeated links may stay until the small star
         now = scratch.put(_oriented(_small_star(big, scratch)), "small")
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

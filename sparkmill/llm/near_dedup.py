@@ -12,8 +12,9 @@ before keys are formed. In a bucket, all members are tried against one pivot
 first, and links are contracted to components. For classes in buckets that
 still hold several components, the shingles that no other such class has are
 counted: the rest bounds every intersection, which rules out most pairs
-exactly. The pairs that remain are tried against more pivots, eight times as
-many each round and only across components, until all have been tried. No
+exactly. The pairs that remain are tried against more pivots, ``GROWTH`` times
+as many each round and only across components, until all have been tried. A
+round's links join components found before, so only these are contracted. No
 bucket is gathered in a task, and none is capped.
 
 Defined results: null text, or text without words, has the empty set and is
@@ -38,7 +39,7 @@ from sparkmill.llm.components import components
 from sparkmill.llm.textkit import U, mix, per_doc, shingles, slices
 
 WIDTH = 2
-GROWTH = 8
+GROWTH = 64
 
 
 def document_sets(s, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,16 +92,16 @@ def full_sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def confirmed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(p, m, left, right) to (p, m, common, linked): the size of the intersection, and whether it is enough."""
+    """(p, m, u, v, left, right) to (p, m, u, v, common, linked): the size of the intersection, and whether it is enough."""
     for batch in batches:
         common, linked = [], []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+        for a, b in zip(batch.column(4), batch.column(5), strict=True):
             both = np.concatenate([np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)])
             both.sort()
             inside = int(np.count_nonzero(both[1:] == both[:-1]))
             common.append(inside)
             linked.append(100 * inside >= percent * (len(both) - inside))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["p", "m", "common", "linked"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["p", "m", "u", "v", "common", "linked"])
 
 
 def as_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,18 +157,19 @@ class _Linker:
         return self.scratch.put(exact.groupBy("id", F.xxhash64("shingles").alias("__h")).agg(F.first("shingles").alias("shingles")).select("id", "shingles"), "sets")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
+        """(p, m, u, v, common, linked) of pairs (p, m) in components u and v."""
         percent = self.percent
         right = self.sets.select(F.col("id").alias("__m"), F.col("shingles").alias("right"))
         left = self.sets.select(F.col("id").alias("__p"), F.col("shingles").alias("left"))
-        one = self.scratch.put(pairs.join(right, F.col("m") == F.col("__m")).select("p", "m", "right"), "pairs")
-        both = one.join(left, F.col("p") == F.col("__p")).select("p", "m", "left", "right")
-        tried = self.scratch.put(both.mapInArrow(lambda batches: confirmed(percent, batches), "p long, m long, common long, linked boolean"), "confirmed")
+        one = self.scratch.put(pairs.join(right, F.col("m") == F.col("__m")).select("p", "m", "u", "v", "right"), "pairs")
+        both = one.join(left, F.col("p") == F.col("__p")).select("p", "m", "u", "v", "left", "right")
+        tried = self.scratch.put(both.mapInArrow(lambda batches: confirmed(percent, batches), "p long, m long, u long, v long, common long, linked boolean"), "confirmed")
         self.scratch.free(one)
         return tried
 
     @staticmethod
     def links_of(tried: DataFrame) -> DataFrame:
-        return tried.where("linked").select(F.col("p").alias("u"), F.col("m").alias("v"))
+        return tried.where("linked").select("u", "v")
 
     def link(self, members: DataFrame) -> DataFrame:
         """(node, root) of all classes that are linked.
@@ -178,17 +180,15 @@ class _Linker:
         """
         put = self.scratch.put
         first = members.where((F.col("cls") != F.col("pivot")) & self._close("n", "pivot_n")).select(F.col("pivot").alias("p"), F.col("cls").alias("m")).distinct()
-        first = put(first, "first")
-        tried = self.confirm(first)
-        links = self.links_of(tried)
-        roots = components(links, self.scratch)
+        tried = self.confirm(put(first.select("p", "m", F.col("p").alias("u"), F.col("m").alias("v")), "first"))
+        roots = step = components(self.links_of(tried), self.scratch)
         # The pivot of a bucket has been tried with all its members; the others remain.
-        rest = self.undecided(members.where("cls <> pivot").select("bucket", "cls", "n", "spot", "pivot"), roots)
+        rest = self.undecided(members.where("cls <> pivot").select("bucket", "cls", "n", "spot", "pivot", F.col("cls").alias("root")), step)
         shared = self.shared_sizes(rest)
         known = tried.select(F.col("p").alias("__p"), F.col("m").alias("__m"), "common")
         rest = rest.join(shared, F.col("cls") == F.col("__id")).join(known, (F.col("pivot") == F.col("__p")) & (F.col("cls") == F.col("__m")), "left")
         # Without a known intersection (sizes too far from the pivot's), c alone bounds both parts.
-        rest = put(rest.select("bucket", "cls", "n", "spot", "c", F.coalesce("common", "c").alias("near"), F.coalesce(F.greatest(F.col("c") - F.col("common"), F.lit(0)), "c").alias("far")), "bounded")
+        rest = put(rest.select("bucket", "cls", "n", "spot", "root", "c", F.coalesce("common", "c").alias("near"), F.coalesce(F.greatest(F.col("c") - F.col("common"), F.lit(0)), "c").alias("far")), "bounded")
         smallest = put(rest.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("n").alias("least")), "smallest")
         other = F.greatest(F.col("least"), F.ceil(F.col("n") * self.percent / 100))
         rest = put(rest.join(smallest, F.col("bucket") == F.col("__bucket")).where(self._reach(F.col("c"), F.col("n") + other)).drop("__bucket", "least"), "able")
@@ -197,7 +197,7 @@ class _Linker:
         rest = rest.join(homes, F.col("cls") == F.col("__cls")).drop("__cls")
         reach = GROWTH
         while True:
-            rest = self.undecided(rest, roots)
+            rest = self.undecided(rest, step)
             most = rest.agg(F.max("size")).first()[0]
             if most is None:
                 return roots
@@ -209,17 +209,20 @@ class _Linker:
             able = self._close("n", "pn") & self._reach(inside, F.col("n") + F.col("pn"))
             here = F.array_min(F.array_intersect("homes", "phomes")) == F.col("bucket")
             tried = rest.join(pivots, (F.col("bucket") == F.col("__b")) & (F.col("root") != F.col("proot")) & later & able & here)
-            pairs = put(tried.select("p", F.col("cls").alias("m")).distinct(), "round")
-            links = put(links.unionByName(self.links_of(self.confirm(pairs))), "links")
-            roots = components(links, self.scratch)
+            pairs = put(tried.select("p", F.col("cls").alias("m"), F.col("proot").alias("u"), F.col("root").alias("v")), "round")
+            step = components(self.links_of(self.confirm(pairs)), self.scratch)
+            moved = step.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+            roots = put(roots.join(moved, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root")).unionByName(step), "roots")
             if most <= reach:
                 return roots
-            rest = rest.drop("root", "size")
+            rest = rest.drop("size")
             reach *= GROWTH
 
-    def undecided(self, rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """The rows of buckets with several components, with their root and the bucket's size."""
-        state = self.scratch.put(rows.join(roots, F.col("cls") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "cls").alias("root")), "state")
+    def undecided(self, rows: DataFrame, step: DataFrame) -> DataFrame:
+        """The rows of buckets with several components, their root brought up to date, and the bucket's size."""
+        moved = step.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+        state = rows.join(moved, F.col("root") == F.col("__n"), "left").withColumn("root", F.coalesce("__r", "root"))
+        state = self.scratch.put(state.drop("__n", "__r"), "state")
         mixed = self.scratch.put(state.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("__bucket", "size"), "mixed")
         return self.scratch.put(state.join(mixed, F.col("bucket") == F.col("__bucket")).drop("__bucket"), "rest")
 
