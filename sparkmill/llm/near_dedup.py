@@ -39,6 +39,9 @@ from sparkmill.llm.components import components
 from sparkmill.llm.textkit import U, mix, per_doc, shingles, slices
 
 WIDTH = 2
+#: Bytes kept of a shingle's hash in a set that is sent to be confirmed: 48 bits, so that two sets of a
+#: thousand shingles hold a false match with a probability of about 4e-9.
+HASH_BYTES = 6
 GROWTH = 64
 
 
@@ -82,13 +85,25 @@ def signatures(k: int, elements: int, batches: Iterator[pa.RecordBatch]) -> Iter
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(np.diff(at)), pa.array(c1), pa.array(c2), lists], ["id", "n", "c1", "c2", "keys"])
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The upper ``HASH_BYTES`` bytes of sorted hashes, in order."""
+    return np.ascontiguousarray(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    """The hashes of packed sets, with zeros for the bytes that were left out."""
+    wide = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+    wide[:, :HASH_BYTES] = data.reshape(-1, HASH_BYTES)
+    return wide.view(">u8").reshape(-1).astype(U)
+
+
 def full_sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, shingles): the sorted 64-bit hashes as bytes."""
+    """(id, text) to (id, shingles): the sorted hashes as bytes."""
     for batch in batches:
         for s in slices(batch.column(1)):
             flat, at = document_sets(s, k)
-            data = flat.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array([data[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "shingles"])
+            data, w = packed(flat), HASH_BYTES
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array([data[w * a : w * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "shingles"])
 
 
 def confirmed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +111,7 @@ def confirmed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     for batch in batches:
         common, linked = [], []
         for a, b in zip(batch.column(4), batch.column(5), strict=True):
-            both = np.concatenate([np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)])
+            both = unpacked(np.concatenate([np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.uint8)]))
             both.sort()
             inside = int(np.count_nonzero(both[1:] == both[:-1]))
             common.append(inside)
@@ -107,7 +122,7 @@ def confirmed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 def as_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, shingles as bytes) to (id, shingles as a list of longs)."""
     for batch in batches:
-        parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        parts = [unpacked(np.frombuffer(x.as_buffer(), np.uint8)).view(np.int64) for x in batch.column(1)]
         ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], ["id", "shingles"])
 
@@ -195,6 +210,8 @@ class _Linker:
         # A pair is tried in the first of the buckets it shares (a class is in elements ** 2 at most).
         homes = put(rest.groupBy(F.col("cls").alias("__cls")).agg(F.sort_array(F.collect_list("bucket")).alias("homes")), "homes")
         rest = rest.join(homes, F.col("cls") == F.col("__cls")).drop("__cls")
+        # Later rounds try no other classes, so no other sets move again.
+        self.sets = put(self.sets.join(homes, F.col("id") == F.col("__cls"), "left_semi"), "later-sets")
         reach = GROWTH
         while True:
             rest = self.undecided(rest, step)
@@ -235,7 +252,7 @@ class _Linker:
         listed = self.sets.join(wanted, F.col("id") == F.col("__cls"), "left_semi").mapInArrow(as_lists, "id long, shingles array<long>")
         alone = listed.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
         alone = alone.groupBy(F.col("id").alias("__alone")).agg(F.count("*").alias("u"))
-        sizes = self.sets.join(wanted, F.col("id") == F.col("__cls"), "left_semi").groupBy("id").agg(F.max(F.octet_length("shingles") / 8).cast("long").alias("n"))
+        sizes = self.sets.join(wanted, F.col("id") == F.col("__cls"), "left_semi").groupBy("id").agg(F.max(F.octet_length("shingles") / HASH_BYTES).cast("long").alias("n"))
         return self.scratch.put(sizes.join(alone, F.col("id") == F.col("__alone"), "left").select(F.col("id").alias("__id"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("c")), "shared-sizes")
 
 
