@@ -176,11 +176,9 @@ class _Linker:
         percent = self.percent
         right = self.sets.select(F.col("id").alias("__m"), F.col("shingles").alias("right"))
         left = self.sets.select(F.col("id").alias("__p"), F.col("shingles").alias("left"))
-        one = self.scratch.put(pairs.join(right, F.col("m") == F.col("__m")).select("p", "m", "u", "v", "right"), "pairs")
+        one = pairs.join(right, F.col("m") == F.col("__m")).select("p", "m", "u", "v", "right")
         both = one.join(left, F.col("p") == F.col("__p")).select("p", "m", "u", "v", "left", "right")
-        tried = self.scratch.put(both.mapInArrow(lambda batches: confirmed(percent, batches), "p long, m long, u long, v long, common long, linked boolean"), "confirmed")
-        self.scratch.free(one)
-        return tried
+        return self.scratch.put(both.mapInArrow(lambda batches: confirmed(percent, batches), "p long, m long, u long, v long, common long, linked boolean"), "confirmed")
 
     @staticmethod
     def links_of(tried: DataFrame) -> DataFrame:
