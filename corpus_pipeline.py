@@ -40,7 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Flatten the sources as far as the repetition limit allows, within a budget of all tokens."""
-    return mixing.Mix(docs, repetition_limit=REPETITION_LIMIT).realise()
+    return mixing.Mix(docs, vocabulary(), repetition_limit=REPETITION_LIMIT).realise()
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

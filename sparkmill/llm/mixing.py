@@ -13,6 +13,10 @@ is one threshold, so the decision on a row needs no shuffle of documents.
 Prefix sums run over at most ``BLOCKS`` rows of a source, then over the
 documents of one block.
 
+Tokens are those of a byte-level BPE file, counted once and written with the
+hashes of the row (without an end token). Only a caller that names no file gets
+the estimate of :func:`default_tokens`.
+
 Defined results: null source is a source of its own; null and empty texts have
 0 tokens and follow their block; a null id is treated as one more id; repeated
 rows are decided alike; an empty table gives an empty table; other columns are
@@ -23,20 +27,42 @@ ignored by :func:`plan` and passed on by :func:`realise`. More than
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
+from sparkmill.llm.bpe import encoder
 from sparkmill.llm.common import Scratch
 
 BLOCKS, MAX_SOURCES = 1024, 10_000
 
 
 def default_tokens(text: Column) -> Column:
-    """About four bytes of text to a token."""
+    """An estimate for when there is no vocabulary: four bytes of text to a token."""
     return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long")
 
 
+def count(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, becomes its number of tokens."""
+    encode = None
+    for batch in batches:
+        encode = encode or encoder(vocabulary)
+        tokens = [len(encode(t.as_py() or "")) for t in batch.column(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(tokens, pa.int64())], [*batch.schema.names[:-1], "tokens"])
+
+
+def counted(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """``rows`` with the tokens of its last column, a text, in place of that column."""
+
+    def run(batches):
+        return count(vocabulary, batches)
+
+    return rows.mapInArrow(run, StructType(rows.schema.fields[:-1]).add("tokens", LongType()))
+
+
 def weights(shares: dict[str, float], exponent: float) -> dict[str, float]:
     raw = {s: p**exponent if p > 0 else 0.0 for s, p in shares.items()}
     total = sum(raw.values()) or 1.0
@@ -72,14 +98,15 @@ def exponent_for(shares: dict[str, float], budget_ratio: float = 1.0, target_ent
 
 
 class Mix:
-    """Decisions for the rows of a table of documents."""
+    """Decisions for the rows of a table of documents; ``vocabulary`` is the path of a tokenizer file that every executor has."""
 
-    def __init__(self, docs: DataFrame, budget: int | None = None, target_entropy: float | None = None, repetition_limit: float | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
+    def __init__(self, docs: DataFrame, vocabulary: str | None = None, budget: int | None = None, target_entropy: float | None = None, repetition_limit: float | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
         self.docs, self.seed, self.id, self.source = docs, seed, F.col(id_col), F.col(source_col)
-        self.tokens = default_tokens(F.col(text_col))
         scratch = Scratch(docs.sparkSession, "mix")
         key, block, order, spot = self._places()
-        rows = scratch.put(docs.select(key.alias("key"), block.alias("block"), order.alias("order"), spot.alias("spot"), self.tokens.alias("tokens")), "rows")
+        text = F.col(text_col).cast("string")
+        rows = docs.select(self.id.cast("long").alias("doc_id"), self.source.alias("source"), key.alias("key"), block.alias("block"), order.alias("order"), spot.alias("spot"), (default_tokens(text) if vocabulary is None else text).alias("tokens"))
+        rows = self.rows = scratch.put(rows if vocabulary is None else counted(rows, vocabulary), "rows")
         sums = scratch.put(rows.groupBy("key", "block", "order").agg(F.sum("tokens").alias("tokens")), "blocks")
         totals = sums.groupBy("key").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
         if len(totals) > MAX_SOURCES:
@@ -114,18 +141,23 @@ class Mix:
         block = F.pmod(F.xxhash64(spot), F.lit(BLOCKS))
         return key, block, F.xxhash64(key, block, F.lit(self.seed)), spot
 
-    def decided(self) -> DataFrame:
-        """The documents with ``__weight`` and ``__copies``: how often the mix holds the row, 0 or more."""
-        key, _, order, spot = self._places()
+    def _decide(self, rows: DataFrame) -> DataFrame:
+        """``rows`` that have __mine (source key), __order and __spot, with ``__weight`` and ``__copies``: how often the mix holds the row, 0 or more."""
         small = F.broadcast(self.edges)  # one row per source, at most MAX_SOURCES
-        rows = self.docs.withColumn("__mine", key).withColumn("__order", order).withColumn("__spot", spot).join(small, F.col("__mine") == F.col("__key"))
         more = (F.col("__order") < F.col("edge")) | ((F.col("__order") == F.col("edge")) & (F.col("__spot") <= F.col("edge_spot")))
         copies = F.col("passes") + F.coalesce(more.cast("long"), F.lit(0))
-        return rows.select(*self.docs.columns, F.col("weight").alias("__weight"), copies.alias("__copies"), F.col("__order").alias("__place"))
+        return rows.join(small, F.col("__mine") == F.col("__key")).select(*rows.columns, F.col("weight").alias("__weight"), copies.alias("__copies"))
+
+    def decided(self) -> DataFrame:
+        """The documents with ``__weight``, ``__copies`` and ``__place``."""
+        key, _, order, spot = self._places()
+        rows = self._decide(self.docs.withColumn("__mine", key).withColumn("__order", order).withColumn("__spot", spot))
+        return rows.select(*self.docs.columns, "__weight", "__copies", F.col("__order").alias("__place"))
 
     def plan(self) -> DataFrame:
-        """doc_id, source, n_tokens, weight, copies, block_place of every row."""
-        return self.decided().select(self.id.cast("long").alias("doc_id"), self.source.alias("source"), self.tokens.alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__copies").alias("copies"), F.col("__place").alias("block_place"))
+        """doc_id, source, n_tokens, weight, copies, block_place of every row, from the rows that were counted."""
+        rows = self._decide(self.rows.select("doc_id", "source", "tokens", F.col("key").alias("__mine"), F.col("order").alias("__order"), F.col("spot").alias("__spot")))
+        return rows.select("doc_id", "source", F.col("tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__copies").alias("copies"), F.col("__order").alias("block_place"))
 
     def realise(self) -> DataFrame:
         """The rows of the mix, each as often as it is held, with the columns of the documents."""

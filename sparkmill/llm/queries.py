@@ -53,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.Mix(read(spark, sf_dir, "documents"), repetition_limit=REPETITION_LIMIT).plan()
+    return mixing.Mix(read(spark, sf_dir, "documents"), vocabulary(), repetition_limit=REPETITION_LIMIT).plan()
 
 
 def vocabulary() -> str:
