@@ -4,8 +4,9 @@ A text is read in windows of ``WINDOW`` bytes. In either direction a GRU of
 ``HIDDEN`` units runs over a window; both states label every position with
 probabilities of the languages, and a document's probabilities are the mean
 over all its positions. Training is backpropagation through time with Adam on a
-bounded sample: at most ``max_docs`` labelled texts, ``WINDOWS_PER_DOC``
-windows of each from anywhere in the text. The weights (about 50 KB) travel with
+bounded sample: at most ``max_docs`` labelled texts, shared between all
+languages of the table, ``WINDOWS_PER_DOC`` windows of each from anywhere in the
+text. The weights (about 50 KB) travel with
 the function.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
@@ -28,6 +29,7 @@ from sparkmill.llm.textkit import per_doc, slices
 
 WINDOW, HIDDEN, WINDOWS_PER_DOC, BLOCK = 64, 8, 8, 2048
 STEPS, BATCH, RATE = 250, 256, 0.02
+SPARE = 30
 UNKNOWN = "und"
 
 
@@ -141,19 +143,38 @@ def predict(net: Network, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array([net.labels[k] for k in best], pa.string()), pa.array(np.minimum(pooled[np.arange(s.n), best], 1.0))], ["doc_id", "guess", "sure"])
 
 
+def shares(texts: dict[str, int], max_docs: int) -> dict[str, int]:
+    """How many texts each label may give: equal shares of ``max_docs``, one at least; what a rare label leaves goes to the others."""
+    out, left = {}, max_docs
+    for k, (label, n) in enumerate(sorted(texts.items(), key=lambda x: (x[1], x[0]))):
+        out[label] = max(left // (len(texts) - k), 1)
+        left -= min(n, out[label])
+    return out
+
+
 def train(labelled: DataFrame, max_docs: int = 1500, text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """Fit on at most ``max_docs`` texts with a language, in the order of a hash of the text; equal texts count once."""
+    """Fit on at most ``max_docs`` texts (but one of every language), shared between the languages; equal texts count once.
+
+    Every language of a text that is not empty is a label. Its share is taken in the order of a hash of the text.
+    """
     text = F.col(text_col)
     cut = [F.substring(text, F.pmod(F.xxhash64(text, F.lit(j)), F.greatest(F.length(text) - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW)) for j in range(WINDOWS_PER_DOC)]
     rows = labelled.where(text.isNotNull() & F.col(lang_col).isNotNull() & (text != "")).select(F.xxhash64(text).alias("place"), F.col(lang_col).alias("lang"), *(c.alias(f"w{j}") for j, c in enumerate(cut)))
-    # Each task may send max_docs rows, so hashes that cannot be among the smallest go first: twice as many texts are expected to stay.
-    distinct = rows.agg(F.approx_count_distinct("place").alias("n")).first()["n"]
-    if distinct > 2 * max_docs:
-        rows = rows.where(F.col("place") < -(1 << 63) + (2 * max_docs << 64) // distinct)
-    sample = rows.dropDuplicates(["place", "lang"]).orderBy("place", "lang").limit(max_docs).collect()  # bounded: max_docs rows of 8 short windows
-    labels = sorted({r["lang"] for r in sample})
+    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).collect()}  # one row per language
+    labels = sorted(texts)
     if not labels:
         return None
+    share = shares(texts, max_docs)
+    # Hashes that cannot be among a language's smallest go first: twice its share, and SPARE so that none is left without a text, are expected to stay.
+    expected = {x: 2 * share[x] + SPARE for x in labels}
+    bound = [(x, (1 << 63) - 1 if n <= expected[x] else -(1 << 63) + (expected[x] << 64) // n) for x, n in texts.items()]
+    bounds = F.broadcast(labelled.sparkSession.createDataFrame(bound, "__lang string, __bound long"))
+    near = rows.join(bounds, (F.col("lang") == F.col("__lang")) & (F.col("place") <= F.col("__bound"))).drop("__lang", "__bound")
+    sample, taken = [], dict.fromkeys(labels, 0)
+    for r in sorted(near.dropDuplicates(["place", "lang"]).collect(), key=lambda r: (r["place"], r["lang"])):  # about 2 * max_docs rows of 8 short windows
+        taken[r["lang"]] += 1
+        if taken[r["lang"]] <= share[r["lang"]]:
+            sample.append(r)
     net = Network(labels)
     texts = [(r[f"w{j}"].encode()[:WINDOW], labels.index(r["lang"])) for r in sample for j in range(WINDOWS_PER_DOC) if r[f"w{j}"]]
     data = np.frombuffer(b"".join(t.ljust(WINDOW, b"\0") for t, _ in texts), np.uint8).reshape(-1, WINDOW)
