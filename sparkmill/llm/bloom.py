@@ -1,9 +1,11 @@
 """Blocked Bloom filters as DataFrames: 64-bit blocks in rows ``(block, bits)``.
 
-A filter of ``filter_bits`` bits has at most ``filter_bits / 64`` rows whatever
-the data, so broadcasting it has a fixed bound (2**24 bits: 262,144 rows of 16
-bytes). A value lives in one block and sets two bits there. A filter that is
-too small for its values only answers "maybe" more often.
+A value lives in one block and sets two bits there. A filter has ``BITS_A_VALUE``
+bits for each value that it is made for, and never more than ``MAX_BITS``
+(1,048,576 rows of 16 bytes), so broadcasting it has a fixed bound. Values that
+need more are dealt by hash to several filters, of which one is broadcast at a
+time (:func:`slices_for`). A filter that is too small for its values only
+answers "maybe" more often.
 """
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BITS = 1 << 24
-MAX_BITS = 1 << 26
+from sparkmill.llm.common import Scratch
+
+BITS_A_VALUE = 16
+LEAST_BITS, MAX_BITS = 1 << 12, 1 << 26
 
 
 def check_bits(filter_bits: int) -> int:
@@ -22,6 +26,16 @@ def check_bits(filter_bits: int) -> int:
     return filter_bits
 
 
+def bits_for(values: int) -> int:
+    """The size of a filter of so many values: a power of two, ``MAX_BITS`` at most."""
+    return min(max(LEAST_BITS, 1 << (BITS_A_VALUE * max(values, 1) - 1).bit_length()), MAX_BITS)
+
+
+def slices_for(values: int, filter_bits: int = MAX_BITS) -> int:
+    """How many filters of ``filter_bits`` bits so many values need."""
+    return max(1, -(-BITS_A_VALUE * values // filter_bits))
+
+
 def block_of(value_hash: Column, filter_bits: int) -> Column:
     return F.pmod(value_hash, F.lit(filter_bits // 64))
 
@@ -63,9 +77,24 @@ def build_repeated(df: DataFrame, value_hash: str, filter_bits: int) -> DataFram
 
 
 def probe(df: DataFrame, value_hash: Column, blocks: DataFrame, filter_bits: int, flag: str) -> DataFrame:
-    """Add a boolean column: False means surely not in the filter. Rows do not move."""
+    """Add a boolean column: False means surely not in the filter. Rows do not move.
+
+    ``df`` must not have columns of the names used here: callers pack foreign columns in a struct.
+    """
     key, bits = "__bloom_block", "__bloom_bits"
     small = F.broadcast(blocks.select(F.col("block").alias(key), F.col("bits").alias(bits)))
     mine = bits_of(value_hash)
     joined = df.withColumn("__bloom_key", block_of(value_hash, filter_bits)).join(small, F.col("__bloom_key") == F.col(key), "left")
     return joined.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(mine) == mine, F.lit(False))).drop(key, bits, "__bloom_key")
+
+
+def probe_keys(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str, scratch: Scratch, flag: str) -> DataFrame:
+    """Add a boolean column: False where ``key`` is surely not among the written keys ``wanted``."""
+    filter_bits = bits_for(wanted.count())
+    blocks = scratch.put(build(wanted.select(F.xxhash64(wanted_key).alias("h")), "h", filter_bits), "bloom")
+    return probe(df, F.xxhash64(key), blocks, filter_bits, flag)
+
+
+def keep_possible(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str, scratch: Scratch) -> DataFrame:
+    """The rows whose ``key`` may be among the written keys ``wanted``; no row moves."""
+    return probe_keys(df, key, wanted, wanted_key, scratch, "__maybe").where("__maybe").drop("__maybe")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Functions travel to the executors by value, so these need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules["sparkmill"])
@@ -21,10 +23,13 @@ _made: list[tuple[SparkSession, str]] = []
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a session without that setting on this machine alone (a local test) gets a folder of its own; on a cluster
+    that would lose rows without an error, so it is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sparkmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -44,21 +49,40 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[DataFrame] = []
         _made.append((spark, self.base))
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the table read back (its lineage is the files)."""
+    def path(self, name: str) -> str:
+        """A new place for a table."""
         self.count += 1
-        path = f"{self.base}/{self.count:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        return f"{self.base}/{self.count:03d}-{name}"
+
+    def read(self, path: str, schema: StructType) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
+        self.tables.append(out)
         return out
 
+    def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df`` as Parquet, in folders by a column if asked for, and return the table read back (its lineage is the files)."""
+        path = self.path(name)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        return self.read(path, df.schema)
+
+    def append(self, df: DataFrame, path: str) -> None:
+        df.write.mode("append").parquet(path)
+
     def free(self, df: DataFrame) -> None:
         """Delete a table of :meth:`put` that nothing reads any more."""
+        self.tables = [t for t in self.tables if t is not df]
         drop_table(self.spark, df._scratch_path)
 
+    def keep_only(self, *kept: DataFrame) -> None:
+        """Delete all tables but those that the result still reads."""
+        for df in self.tables:
+            if not any(df is k for k in kept):
+                self.free(df)
+
 
 @atexit.register
 def _clean() -> None:
@@ -82,13 +106,14 @@ def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFr
     """``docs`` without the ids in ``gone`` (one long column ``doc_id``); rows with a null id stay.
 
     A Bloom filter of the ids is broadcast: rows that miss it pass straight
-    through, and only possible hits are shuffled for the exact test.
+    through, and only possible hits are shuffled for the exact test. The columns
+    of ``docs`` are passed on whatever their names.
     """
     from sparkmill.llm import bloom
 
     scratch = Scratch(docs.sparkSession, "drop")
-    gone = scratch.put(gone.select(F.col("doc_id").alias("__gone")).where("__gone IS NOT NULL").distinct(), "ids")
-    blocks = scratch.put(bloom.build(gone.withColumn("__h", F.xxhash64("__gone")), "__h", bloom.DEFAULT_BITS), "blocks")
-    rows = bloom.probe(docs, F.xxhash64(F.col(id_col).cast("long")), blocks, bloom.DEFAULT_BITS, "__maybe")
-    stays = rows.where("__maybe").join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    return rows.where("NOT __maybe").select(*docs.columns).unionByName(stays.select(*docs.columns))
+    gone = scratch.put(gone.select(F.col("doc_id").alias("gone")).where("gone IS NOT NULL").distinct(), "ids")
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
+    rows = bloom.probe_keys(whole, F.col("id"), gone, "gone", scratch, "maybe")
+    stays = rows.where("maybe").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return rows.where("NOT maybe").select("row.*").unionByName(stays.select("row.*"))
