@@ -6,22 +6,29 @@ minhashes wide. A table's key is a pair of one element of either collection, so
 instead of 4 * ``elements`` ** 2. With 12, a pair of similarity s is found with
 probability (1 - (1 - s**2) ** 12) ** 2: 0.9999 at 0.75.
 
-Copies: rows with equal shingle sets are one class from the start. Elements
-that no other class shares take no part in any pair of keys and are left out
-before keys are formed. In a bucket, all members are tried against one pivot
-first, and links are contracted to components. For classes in buckets that
-still hold several components, the shingles that no other such class has are
-counted: the rest bounds every intersection, which rules out most pairs
-exactly. The pairs that remain are tried against more pivots, ``GROWTH`` times
-as many each round and only across components, until all have been tried. A
-round's links join components found before, so only these are contracted. No
-bucket is gathered in a task, and none is capped.
+Rows with equal shingle sets are one class from the start. Elements that no
+other class shares take no part in any pair of keys and are left out before
+keys are formed. The tables are resolved in two turns:
+
+1. The ``elements`` tables of pairs (x_i, y_i). All members of a bucket are
+   tried against one pivot, the member whose elements are the most shared (the
+   middle of a group of copies), and links are contracted to components.
+2. All tables, but only of elements that classes of several components share,
+   and only for classes of which enough shingles occur in another component to
+   allow a link at all (an exact bound). Elements with the same members are one.
+   Pairs that the pivot and the bound leave open are tried against more pivots,
+   ``GROWTH`` times as many each round and only across components, until all
+   have been tried.
+
+No bucket is gathered in a task, and none is capped. A bucket that still holds
+many components is compared member by member, on counts; only pairs that the
+bounds allow are emitted and confirmed.
 
 Defined results: null text, or text without words, has the empty set and is
 linked with nothing; fewer words than a shingle make one shingle; a null id
 takes no part and is kept (its component is null); rows that share an id share
 its node, each with the component of its own text; an empty table gives an empty
-table; other columns are ignored.
+table; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +46,6 @@ from sparkmill.llm.components import components
 from sparkmill.llm.textkit import U, mix, per_doc, shingles, slices
 
 WIDTH = 2
-#: Bytes kept of a shingle's hash in a set that is sent to be confirmed: 48 bits, so that two sets of a
-#: thousand shingles hold a false match with a probability of about 4e-9.
-HASH_BYTES = 6
 GROWTH = 64
 
 
@@ -85,46 +89,12 @@ def signatures(k: int, elements: int, batches: Iterator[pa.RecordBatch]) -> Iter
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(np.diff(at)), pa.array(c1), pa.array(c2), lists], ["id", "n", "c1", "c2", "keys"])
 
 
-def packed(hashes: np.ndarray) -> bytes:
-    """The upper ``HASH_BYTES`` bytes of sorted hashes, in order."""
-    return np.ascontiguousarray(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
-
-
-def unpacked(data: np.ndarray) -> np.ndarray:
-    """The hashes of packed sets, with zeros for the bytes that were left out."""
-    wide = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
-    wide[:, :HASH_BYTES] = data.reshape(-1, HASH_BYTES)
-    return wide.view(">u8").reshape(-1).astype(U)
-
-
 def full_sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, shingles): the sorted hashes as bytes."""
+    """(id, text) to (id, shingles): the distinct 64-bit hashes."""
     for batch in batches:
         for s in slices(batch.column(1)):
             flat, at = document_sets(s, k)
-            data, w = packed(flat), HASH_BYTES
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array([data[w * a : w * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "shingles"])
-
-
-def confirmed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(p, m, u, v, left, right) to (p, m, u, v, common, linked): the size of the intersection, and whether it is enough."""
-    for batch in batches:
-        common, linked = [], []
-        for a, b in zip(batch.column(4), batch.column(5), strict=True):
-            both = unpacked(np.concatenate([np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.uint8)]))
-            both.sort()
-            inside = int(np.count_nonzero(both[1:] == both[:-1]))
-            common.append(inside)
-            linked.append(100 * inside >= percent * (len(both) - inside))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["p", "m", "u", "v", "common", "linked"])
-
-
-def as_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, shingles as bytes) to (id, shingles as a list of longs)."""
-    for batch in batches:
-        parts = [unpacked(np.frombuffer(x.as_buffer(), np.uint8)).view(np.int64) for x in batch.column(1)]
-        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))], ["id", "shingles"])
 
 
 def _order(c: Column) -> Column:
@@ -132,6 +102,11 @@ def _order(c: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(c), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def _of_second(key: Column) -> Column:
+    """Whether an element is of the second collection (its lowest bit)."""
+    return key.bitwiseAND(F.lit(1)) == 1
+
+
 class _Linker:
     def __init__(self, docs: DataFrame, k: int, percent: int, elements: int):
         self.k, self.percent, self.elements = k, percent, elements
@@ -146,70 +121,112 @@ class _Linker:
         """Whether ``inside`` common shingles can be enough for sets of ``total`` shingles together."""
         return (100 + self.percent) * inside >= self.percent * total
 
-    def buckets(self, classes: DataFrame) -> DataFrame:
-        """(bucket, cls, n, spot, pivot) of buckets with two or more classes; of equal buckets one stays."""
-        put = self.scratch.put
-        elements = classes.select("cls", "n", F.explode("keys").alias("key"))
-        shared = put(elements.groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("c")).where("c > 1").select("__key"), "shared")
-        mine = put(elements.join(shared, F.col("key") == F.col("__key")).select("cls", "n", "key"), "elements")
-        first = F.col("key").bitwiseAND(F.lit(1)) == 0
-        sides = mine.groupBy("cls", "n").agg(F.collect_list(F.when(first, F.col("key"))).alias("x"), F.collect_list(F.when(~first, F.col("key"))).alias("y"))
-        rows = sides.select("cls", "n", F.explode("x").alias("x"), "y").select("cls", "n", "x", F.explode("y").alias("y"))
-        rows = put(rows.select(F.xxhash64("x", "y").alias("bucket"), "cls", "n"), "tables")
-        h = F.xxhash64("cls")
-        made = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(h).alias("f1"), F.sum(F.shiftrightunsigned(F.xxhash64("cls", F.lit(1)), 32)).alias("f2"), F.min(F.struct(_order(F.col("cls")).alias("spot"), "cls", "n")).alias("pivot")).where("size > 1")
-        kept = put(made.groupBy("size", "f1", "f2", "pivot").agg(F.min("bucket").alias("__bucket")).select("__bucket", "pivot"), "buckets")
-        return put(rows.join(kept, F.col("bucket") == F.col("__bucket")).select("bucket", "cls", "n", _order(F.col("cls")).alias("spot"), F.col("pivot.cls").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "members")
-
-    def gather_sets(self, members: DataFrame) -> DataFrame:
-        """(id, shingles) of the classes in any bucket. Others' texts do not move."""
-        wanted = self.scratch.put(members.select(F.col("cls").alias("__cls")).distinct(), "wanted")
-        blocks = self.scratch.put(bloom.build(wanted.withColumn("__h", F.xxhash64("__cls")), "__h", bloom.DEFAULT_BITS), "blocks")
+    def sides(self, classes: DataFrame) -> DataFrame:
+        """(cls, n, score, elems) of classes that share an element of either collection with another class.
+
+        ``score`` sums how many classes have each element.
+        """
+        each = classes.select("cls", "n", F.posexplode("keys").alias("pos", "key"))
+        shared = self.scratch.put(each.groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("held")).where("held > 1"), "shared")
+        mine = each.join(shared, F.col("key") == F.col("__key")).groupBy("cls", "n").agg(F.sum("held").alias("score"), F.collect_list(F.struct("pos", "key")).alias("elems"))
+        both = F.exists("elems", lambda e: e["pos"] < self.elements) & F.exists("elems", lambda e: e["pos"] >= self.elements)
+        return self.scratch.put(mine.where(both), "sides")
+
+    def gather_sets(self, sides: DataFrame) -> DataFrame:
+        """(id, shingles) of the given classes. Others' texts do not move."""
+        wanted = self.scratch.put(sides.select(F.col("cls").alias("__cls")).distinct(), "wanted")
         k = self.k
-        maybe = bloom.probe(self.docs, F.xxhash64("id"), blocks, bloom.DEFAULT_BITS, "__maybe").where("__maybe").select("id", "text")
-        sets = maybe.mapInArrow(lambda batches: full_sets(k, batches), "id long, shingles binary")
+        maybe = bloom.keep_possible(self.docs, F.col("id"), wanted, "__cls", self.scratch).select("id", "text")
+        sets = maybe.mapInArrow(lambda batches: full_sets(k, batches), "id long, shingles array<long>")
         exact = sets.join(wanted, F.col("id") == F.col("__cls"), "left_semi")
         return self.scratch.put(exact.groupBy("id", F.xxhash64("shingles").alias("__h")).agg(F.first("shingles").alias("shingles")).select("id", "shingles"), "sets")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """(p, m, u, v, common, linked) of pairs (p, m) in components u and v."""
-        percent = self.percent
+        """(p, m, u, v, common, linked) of pairs (p, m) in components u and v: the intersection's size, and whether it is enough."""
         right = self.sets.select(F.col("id").alias("__m"), F.col("shingles").alias("right"))
         left = self.sets.select(F.col("id").alias("__p"), F.col("shingles").alias("left"))
         one = pairs.join(right, F.col("m") == F.col("__m")).select("p", "m", "u", "v", "right")
-        both = one.join(left, F.col("p") == F.col("__p")).select("p", "m", "u", "v", "left", "right")
-        return self.scratch.put(both.mapInArrow(lambda batches: confirmed(percent, batches), "p long, m long, u long, v long, common long, linked boolean"), "confirmed")
-
-    @staticmethod
-    def links_of(tried: DataFrame) -> DataFrame:
-        return tried.where("linked").select("u", "v")
-
-    def link(self, members: DataFrame) -> DataFrame:
-        """(node, root) of all classes that are linked.
-
-        With the bucket's pivot P, two members share at most min(|X & P|, |Y & P|)
-        plus min(x, y), where x and y count shingles outside P that another
-        undecided class or pivot has too. The first round gives |X & P| for every member.
+        both = one.join(left, F.col("p") == F.col("__p"))
+        total = F.size("left") + F.size("right")
+        tried = both.select("p", "m", "u", "v", total.alias("total"), F.size(F.array_intersect("left", "right")).alias("common"))
+        return self.scratch.put(tried.select("p", "m", "u", "v", "common", self._reach(F.col("common"), F.col("total")).alias("linked")), "confirmed")
+
+    def contract(self, roots: DataFrame | None, tried: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """((node, root) of all links so far, the step of it that ``tried`` adds)."""
+        step = components(tried.where("linked").select("u", "v"), self.scratch)
+        if roots is None:
+            return step, step
+        moved = step.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+        return self.scratch.put(roots.join(moved, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root")).unionByName(step), "roots"), step
+
+    def first_turn(self, sides: DataFrame) -> DataFrame:
+        """(p, m, u, v, common, linked): members of the buckets (x_i, y_i) against the bucket's pivot."""
+        first = sides.select("cls", "n", "score", "elems", F.explode(F.filter("elems", lambda e: e["pos"] < self.elements)).alias("one"))
+        other = F.get(F.filter("elems", lambda e: e["pos"] == F.col("one.pos") + self.elements), F.lit(0))["key"]
+        rows = first.select("cls", "n", "score", F.col("one.key").alias("xk"), other.alias("yk")).where("yk IS NOT NULL")
+        rows = self.scratch.put(rows.select(F.xxhash64("xk", "yk").alias("bucket"), "cls", "n", "score"), "diagonal")
+        pivot = F.max(F.struct("score", _order(F.col("cls")).alias("spot"), "cls", "n")).alias("pivot")
+        made = rows.groupBy(F.col("bucket").alias("__bucket")).agg(F.count("*").alias("size"), pivot).where("size > 1")
+        found = rows.join(made, F.col("bucket") == F.col("__bucket")).where(F.col("cls") != F.col("pivot.cls")).where(self._close("n", "pivot.n"))
+        pairs = found.select(F.col("pivot.cls").alias("p"), F.col("cls").alias("m")).distinct()
+        return self.confirm(pairs.select("p", "m", F.col("p").alias("u"), F.col("m").alias("v")))
+
+    def open_elements(self, rows: DataFrame, merge: bool = False) -> DataFrame:
+        """``rows`` with ``x`` and ``y``: the elements of either collection that classes of several components have.
+
+        With ``merge`` elements of the same classes are one. Classes without an x or y are left out.
         """
+        each = rows.select(*[c for c in rows.columns if c != "keys"], F.explode("keys").alias("key"))
+        facts = [F.min("root").alias("low"), F.max("root").alias("high")]
+        if merge:
+            facts += [F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("f1"), F.sum(F.shiftrightunsigned(F.xxhash64("cls", F.lit(1)), 40)).alias("f2")]
+        mixed = each.groupBy(F.col("key").alias("__key")).agg(*facts).where("low <> high")
+        kept = "key"
+        if merge:
+            mixed = self.scratch.put(mixed, "mixed")
+            same = ["size", "f1", "f2", "side"]
+            named = mixed.withColumn("side", _of_second(F.col("__key")))
+            least = self.scratch.put(named.groupBy(*same).agg(F.min("__key").alias("__key")).select("__key"), "named")
+            mixed, kept = least, "__key"
+        mixed = self.scratch.put(mixed.select("__key"), "open")
+        held = each.join(mixed, F.col("key") == F.col("__key")).drop("__key")
+        others = [c for c in rows.columns if c != "keys"]
+        made = held.groupBy(*others).agg(F.collect_set("key").alias("keys"))
+        made = made.withColumn("x", F.filter("keys", lambda e: ~_of_second(e))).withColumn("y", F.filter("keys", _of_second))
+        return self.scratch.put(made.where("size(x) > 0 AND size(y) > 0"), "open-classes")
+
+    def bounded(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``c``, the number of their shingles that another component has too; those that it rules out are left out.
+
+        A link needs ``percent`` of the larger set in common, so of either set.
+        """
+        each = rows.select("cls", "root").join(self.sets, F.col("cls") == F.col("id")).select("cls", "root", F.explode("shingles").alias("shingle"))
+        mixed = each.groupBy(F.col("shingle").alias("__shingle")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("__shingle")
+        counted = each.join(mixed, F.col("shingle") == F.col("__shingle")).groupBy(F.col("cls").alias("__cls")).agg(F.count("*").alias("c"))
+        return self.scratch.put(rows.join(counted, F.col("cls") == F.col("__cls")).where(100 * F.col("c") >= self.percent * F.col("n")).drop("__cls", "x", "y"), "bounded")
+
+    def link(self, sides: DataFrame) -> DataFrame:
+        """(node, root) of all classes that are linked."""
         put = self.scratch.put
-        first = members.where((F.col("cls") != F.col("pivot")) & self._close("n", "pivot_n")).select(F.col("pivot").alias("p"), F.col("cls").alias("m")).distinct()
-        tried = self.confirm(put(first.select("p", "m", F.col("p").alias("u"), F.col("m").alias("v")), "first"))
-        roots = step = components(self.links_of(tried), self.scratch)
-        # The pivot of a bucket has been tried with all its members; the others remain.
-        rest = self.undecided(members.where("cls <> pivot").select("bucket", "cls", "n", "spot", "pivot", F.col("cls").alias("root")), step)
-        shared = self.shared_sizes(rest)
-        known = tried.select(F.col("p").alias("__p"), F.col("m").alias("__m"), "common")
-        rest = rest.join(shared, F.col("cls") == F.col("__id")).join(known, (F.col("pivot") == F.col("__p")) & (F.col("cls") == F.col("__m")), "left")
-        # Without a known intersection (sizes too far from the pivot's), c alone bounds both parts.
-        rest = put(rest.select("bucket", "cls", "n", "spot", "root", "c", F.coalesce("common", "c").alias("near"), F.coalesce(F.greatest(F.col("c") - F.col("common"), F.lit(0)), "c").alias("far")), "bounded")
-        smallest = put(rest.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("n").alias("least")), "smallest")
-        other = F.greatest(F.col("least"), F.ceil(F.col("n") * self.percent / 100))
-        rest = put(rest.join(smallest, F.col("bucket") == F.col("__bucket")).where(self._reach(F.col("c"), F.col("n") + other)).drop("__bucket", "least"), "able")
-        # A pair is tried in the first of the buckets it shares (a class is in elements ** 2 at most).
-        homes = put(rest.groupBy(F.col("cls").alias("__cls")).agg(F.sort_array(F.collect_list("bucket")).alias("homes")), "homes")
-        rest = rest.join(homes, F.col("cls") == F.col("__cls")).drop("__cls")
-        # Later rounds try no other classes, so no other sets move again.
-        self.sets = put(self.sets.join(homes, F.col("id") == F.col("__cls"), "left_semi"), "later-sets")
+        roots, _ = self.contract(None, self.first_turn(sides))
+        state = sides.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "n", "score", F.coalesce("root", "cls").alias("root"), F.transform("elems", lambda e: e["key"]).alias("keys"))
+        able = self.bounded(self.open_elements(put(state, "state")))
+        able = self.open_elements(able, merge=True)
+        # A pair meets in several tables; it is tried in that of the first x and the first y it shares.
+        rows = able.select("cls", "n", "score", "root", "c", "x", "y", F.explode("x").alias("xk")).select("*", F.explode("y").alias("yk"))
+        rows = put(rows.select(F.xxhash64("xk", "yk").alias("bucket"), "xk", "yk", "cls", "n", "score", "root", "c", "x", "y", _order(F.col("cls")).alias("spot")), "tables")
+        made = rows.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("score", "spot", "cls", "n", "root")).alias("pivot")).where("low <> high").select("__bucket", "pivot")
+        rows = put(rows.join(made, F.col("bucket") == F.col("__bucket")).select("bucket", "xk", "yk", "cls", "n", "root", "c", "x", "y", "spot", F.col("pivot.cls").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.root").alias("pivot_root")), "members")
+        pairs = rows.where("cls <> pivot").where(self._close("n", "pivot_n")).select(F.col("pivot").alias("p"), F.col("cls").alias("m"), F.col("pivot_root").alias("u"), F.col("root").alias("v")).distinct()
+        tried = self.confirm(pairs)
+        roots, step = self.contract(roots, tried)
+        # With the bucket's pivot P, two members share at most min(|X & P|, |Y & P|) plus min(x, y), where x and y
+        # count shingles outside P that another component may have too: what X shares with a P of its own component
+        # need not be among the c. Without |X & P| (sizes too far apart) c bounds both parts.
+        known = tried.select(F.col("p").alias("__p"), F.col("m").alias("__m"), "common").distinct()
+        rest = rows.where("cls <> pivot").join(known, (F.col("pivot") == F.col("__p")) & (F.col("cls") == F.col("__m")), "left")
+        outside = F.when(F.col("root") == F.col("pivot_root"), F.least("c", F.col("n") - F.col("common"))).otherwise(F.col("c") - F.col("common"))
+        rest = rest.select("bucket", "xk", "yk", "cls", "n", "root", "c", "x", "y", "spot", F.coalesce("common", "c").alias("near"), F.coalesce(outside, "c").alias("far"))
         reach = GROWTH
         while True:
             rest = self.undecided(rest, step)
@@ -218,16 +235,14 @@ class _Linker:
                 return roots
             place = F.col("spot") * F.col("size")
             pivots = rest.where((place >= (0 if reach == GROWTH else reach // GROWTH)) & (place < reach))
-            pivots = put(pivots.select(F.col("bucket").alias("__b"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("near").alias("pnear"), F.col("far").alias("pfar"), F.col("spot").alias("pspot"), F.col("root").alias("proot"), F.col("homes").alias("phomes")), "pivots")
+            pivots = pivots.select(F.col("bucket").alias("__b"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("near").alias("pnear"), F.col("far").alias("pfar"), F.col("spot").alias("pspot"), F.col("root").alias("proot"), F.col("x").alias("px"), F.col("y").alias("py"))
             later = (F.col("spot") > F.col("pspot")) | ((F.col("spot") == F.col("pspot")) & (F.col("cls") > F.col("p")))
             inside = F.least(F.least("c", "pc"), F.least("near", "pnear") + F.least("far", "pfar"))
             able = self._close("n", "pn") & self._reach(inside, F.col("n") + F.col("pn"))
-            here = F.array_min(F.array_intersect("homes", "phomes")) == F.col("bucket")
-            tried = rest.join(pivots, (F.col("bucket") == F.col("__b")) & (F.col("root") != F.col("proot")) & later & able & here)
-            pairs = put(tried.select("p", F.col("cls").alias("m"), F.col("proot").alias("u"), F.col("root").alias("v")), "round")
-            step = components(self.links_of(self.confirm(pairs)), self.scratch)
-            moved = step.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-            roots = put(roots.join(moved, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root")).unionByName(step), "roots")
+            here = (F.array_min(F.array_intersect("x", "px")) == F.col("xk")) & (F.array_min(F.array_intersect("y", "py")) == F.col("yk"))
+            open_pairs = rest.join(pivots, (F.col("bucket") == F.col("__b")) & (F.col("root") != F.col("proot")) & later & able & here)
+            pairs = put(open_pairs.select("p", F.col("cls").alias("m"), F.col("proot").alias("u"), F.col("root").alias("v")), "round")
+            roots, step = self.contract(roots, self.confirm(pairs))
             if most <= reach:
                 return roots
             rest = rest.drop("size")
@@ -238,21 +253,9 @@ class _Linker:
         moved = step.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
         state = rows.join(moved, F.col("root") == F.col("__n"), "left").withColumn("root", F.coalesce("__r", "root"))
         state = self.scratch.put(state.drop("__n", "__r"), "state")
-        mixed = self.scratch.put(state.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("__bucket", "size"), "mixed")
+        mixed = state.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("__bucket", "size")
         return self.scratch.put(state.join(mixed, F.col("bucket") == F.col("__bucket")).drop("__bucket"), "rest")
 
-    def shared_sizes(self, rest: DataFrame) -> DataFrame:
-        """(__id, c): how many shingles of each class any other undecided class or pivot has too.
-
-        No partner can share more than that, which rules out most pairs exactly.
-        """
-        wanted = self.scratch.put(rest.select(F.explode(F.array("cls", "pivot")).alias("__cls")).distinct(), "undecided")
-        listed = self.sets.join(wanted, F.col("id") == F.col("__cls"), "left_semi").mapInArrow(as_lists, "id long, shingles array<long>")
-        alone = listed.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-        alone = alone.groupBy(F.col("id").alias("__alone")).agg(F.count("*").alias("u"))
-        sizes = self.sets.join(wanted, F.col("id") == F.col("__cls"), "left_semi").groupBy("id").agg(F.max(F.octet_length("shingles") / HASH_BYTES).cast("long").alias("n"))
-        return self.scratch.put(sizes.join(alone, F.col("id") == F.col("__alone"), "left").select(F.col("id").alias("__id"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("c")), "shared-sizes")
-
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, elements: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
@@ -262,10 +265,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, elements: in
     signed = put(rows.mapInArrow(lambda batches: signatures(k, elements, batches), "id long, n long, c1 long, c2 long, keys array<long>"), "signatures")
     live = signed.where("n > 0 AND id IS NOT NULL")
     classes = put(live.groupBy("c1", "c2").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    members = linker.buckets(classes)
-    linker.sets = linker.gather_sets(members)
-    roots = linker.link(members)
+    sides = linker.sides(classes)
+    linker.sets = linker.gather_sets(sides)
+    roots = linker.link(sides)
     named = put(classes.join(roots, F.col("cls") == F.col("node"), "left").select(F.col("c1").alias("__c1"), F.col("c2").alias("__c2"), F.coalesce("root", "cls").alias("component")), "named")
+    linker.scratch.keep_only(signed, named)  # each written when those it reads were
     out = signed.join(named, (F.col("c1") == F.col("__c1")) & (F.col("c2") == F.col("__c2")) & (F.col("n") > 0), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
