@@ -15,8 +15,23 @@ from sparkmill.llm.sql import ORACLE_SQL
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: No source is repeated more often than this in the mix.
 REPETITION_LIMIT = 1.25
-#: Pages of these hosts make up the block list of canonical URLs.
-LISTED_LABELS = ["spam-farm", "cheap-pills", "ads-track"]
+#: The block list, by rule and apart from the pages: on these hosts (each with every prefix and domain) the pages of every
+#: language whose number is a multiple of LISTED_STEP, below LISTED_NUMBERS, plain or as .html; and one section of an ordinary host.
+LISTED_LABELS = ["spam-farm", "cheap-pills", "ads-track", "casino-win", "free-bets", "adult-x"]
+LISTED_PREFIXES, LISTED_DOMAINS, LISTED_LANGUAGES, LISTED_FORMS = ["", "m.", "blog."], ["com", "net", "org"], ["en", "de", "fr", "es"], ["", ".html"]
+LISTED_STEP, LISTED_NUMBERS = 5, 10_000
+LISTED_SECTION = "blog.tionsh.example.com/fr/"
+
+
+def block_list(spark: SparkSession) -> DataFrame:
+    """The list as URLs (column ``url``), about 890,000 whatever the pages are."""
+    numbers = spark.range(0, LISTED_NUMBERS, LISTED_STEP)
+    pick = lambda values: F.explode(F.array(*map(F.lit, values)))
+    rows = numbers.select("id", pick(LISTED_LABELS).alias("label")).select("*", pick(LISTED_PREFIXES).alias("prefix")).select("*", pick(LISTED_DOMAINS).alias("domain"))
+    rows = rows.select("*", pick(LISTED_LANGUAGES).alias("lang")).select("*", pick(LISTED_FORMS).alias("form"))
+    spam = rows.select(F.concat(F.lit("http://"), "prefix", "label", F.lit(".example."), "domain", F.lit("/"), "lang", F.lit("/"), F.col("id").cast("string"), "form").alias("url"))
+    section = spark.range(LISTED_NUMBERS).select("id", pick(LISTED_FORMS).alias("form")).select(F.concat(F.lit("https://" + LISTED_SECTION), F.col("id").cast("string"), "form").alias("url"))
+    return spam.unionByName(section)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +62,7 @@ def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    host = url_filter.host_of(F.col("url"))
-    listed = pages.where(host.rlike(r"(^|\.)(" + "|".join(LISTED_LABELS) + r")\.")).select("url")
-    return url_filter.judge(pages, listed, URL_RULES)
+    return url_filter.judge(pages, block_list(spark), URL_RULES)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

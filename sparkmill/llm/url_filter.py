@@ -1,15 +1,17 @@
 """URL filtering: host and path rules, then a list of canonical URLs behind a blocked Bloom filter.
 
-DataFrame operations only. The list is put into a blocked Bloom filter of
-fixed size and broadcast; a page whose canonical URL misses it is surely not
-listed and never moves. Possible hits go to an exact hash join with the list,
-which removes the false positives.
+DataFrame operations only. The list is put into a blocked Bloom filter, sized
+by the list and bounded (:mod:`sparkmill.llm.bloom`), and broadcast; a page
+whose canonical URL misses it is surely not listed and never moves. Possible
+hits go to an exact hash join with the list, which removes the false positives.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
-fits no rule, has no canonical form and is allowed; repeated rows each get
-their verdict; an empty list allows all that no rule blocks; of rules that fit
-the longest (host and path together, then in text order) wins; other columns are
-ignored.
+fits no rule, has no canonical form and is allowed; URLs of any length are read
+whole; repeated rows each get their verdict; an empty table gives an empty
+table; an empty list allows all that no rule blocks, and its null, repeated or
+malformed entries list nothing more; of rules that fit the longest (host and
+path together, then in text order) wins; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -60,11 +62,11 @@ def rule_columns(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return name, verdict
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", filter_bits: int = bloom.DEFAULT_BITS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", filter_bits: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, listed of every page; ``listed`` is a table of URLs to block."""
-    bloom.check_bits(filter_bits)
     scratch = Scratch(pages.sparkSession, "urls")
     names = scratch.put(listed.select(canonical(F.col(listed_col)).alias("__listed")).where("__listed IS NOT NULL").distinct(), "listed")
+    filter_bits = bloom.bits_for(names.count()) if filter_bits is None else bloom.check_bits(filter_bits)
     blocks = scratch.put(bloom.build(names.withColumn("__hash", F.xxhash64("__listed")), "__hash", filter_bits), "blocks")
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("__url"))
