@@ -117,6 +117,29 @@ class MergeCounter:
         return total
 
 
+#: Runs of white space from here on are split off before the library's own splitter, whose backtracking has a limit.
+LONG_RUN = 1000
+
+
+def long_runs(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in parts, and whether a part is one piece: a long run of white space.
+
+    As the pattern has it, the last character of a run that something follows belongs to what follows.
+    """
+    at = 0
+    for m in _LONG.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        if m.start() > at:
+            yield text[at : m.start()], False
+        yield text[m.start() : end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
+
+_LONG = regex.compile(r"\s{%d,}" % LONG_RUN)
+
+
 def encoder(path: str):
     """A function from a text to its ids as the ``tokenizers`` library gives them, without added begin or end."""
     import tiktoken
@@ -124,7 +147,23 @@ def encoder(path: str):
     vocab = Vocabulary(path)
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocab.ids, special_tokens=vocab.added)
     allowed = set(vocab.added)
-    return lambda text: own.encode(text, allowed_special=allowed, disallowed_special=())
+    plain = lambda text: own.encode(text, allowed_special=allowed, disallowed_special=())
+
+    split = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.added, key=len, reverse=True))) + ")").split if vocab.added else None
+
+    def encode(text: str) -> list[int]:
+        if not _LONG.search(text):
+            return plain(text)
+        ids: list[int] = []
+        for k, between in enumerate(split(text) if split else [text]):
+            if k % 2:
+                ids.append(vocab.added[between])
+                continue
+            for part, is_piece in long_runs(between):
+                ids += own._encode_single_piece(part) if is_piece else plain(part)
+        return ids
+
+    return encode
 
 
 def count_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

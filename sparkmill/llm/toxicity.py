@@ -3,13 +3,17 @@
 Features of a text are the distinct hashes of its words, pairs of neighbours,
 and pairs with one word between them (ASCII letters lower-cased, punctuation
 left out). Every coordinate has its own rate, and L1 keeps most weights at zero:
-what travels to the executors are the few that are not. Training reads at most
-``max_rows`` labelled rows, in the order of a hash of the id.
+what travels to the executors are the few that are not. Training learns from at
+most ``max_rows`` labelled ids, in the order of a hash of the id, and stops
+before the one with which their features would exceed ``max_features``: both
+bound what the driver holds (24 MB as given). Texts are scored whole, always.
 
 Defined results: null and empty texts have the score of the bias alone; rows
-without a label or a text are not learned from; without labels every score is
-0.5; texts of any length are read whole; a null id is not held out; repeated
-rows give a row each; an empty table gives an empty table; other columns are ignored.
+without a label or a text are not learned from; an id with several labels is
+toxic if any says so, and of an id's several texts the one of smallest hash is
+learned from; without labels every score is 0.5; texts of any length are read
+whole; a null id is not held out; repeated rows give a row each; an empty table
+gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm import common  # noqa: F401 - sets how functions travel
+from sparkmill.llm import common
 from sparkmill.llm.textkit import U, mix, owners, slices
 
 BITS = 20
@@ -70,14 +74,14 @@ class FTRL:
 
 
 def list_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, label, text) to (place, label, distinct features)."""
+    """(id, label, text) to (id, label, text's hash, distinct features)."""
     for batch in batches:
-        for s in slices(batch.column(2)):
+        for s in slices(batch.column(3)):
             doc, key = features(s)
             order = np.argsort(doc, kind="stable")
             at = np.searchsorted(doc[order], np.arange(s.n + 1))
             sets = [np.unique(key[order[a:b]]).astype(np.int32) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), batch.column(1).slice(s.first, s.n), pa.array(sets, pa.list_(pa.int32()))], ["place", "label", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s.first, s.n) for c in range(3)), pa.array(sets, pa.list_(pa.int32()))], ["id", "label", "tie", "features"])
 
 
 def score_batches(model: tuple[np.ndarray, np.ndarray, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,23 +97,29 @@ def score_batches(model: tuple[np.ndarray, np.ndarray, float], batches: Iterator
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], ["doc_id", "score"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
-    """(coordinates, weights, bias), from at most ``max_rows`` labels."""
-    some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("label"))
-    some = some.orderBy(F.xxhash64("__id"), "__id", "label").limit(max_rows)  # bounded, so it can be broadcast
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_features: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
+    """(coordinates, weights, bias), from at most ``max_rows`` ids that have at most ``max_features`` features together."""
+    scratch = common.Scratch(docs.sparkSession, "toxic")
+    some = labels.select(F.col(id_col).cast("long").alias("wanted"), (F.col(label_col).cast("int") > 0).cast("int").alias("label")).dropna().groupBy("wanted").agg(F.max("label").alias("label"))
+    some = scratch.put(some.orderBy(F.xxhash64("wanted"), "wanted").limit(max_rows), "labels")  # bounded, so it can be broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(some), F.col("id") == F.col("__id")).select(F.xxhash64("id").alias("place"), "label", "text")
-    sample = rows.mapInArrow(list_features, "place long, label int, features array<int>").limit(2 * max_rows).toArrow().combine_chunks()
+    rows = texts.join(F.broadcast(some), F.col("id") == F.col("wanted")).select("id", "label", F.xxhash64("text").alias("tie"), "text")
+    each = rows.mapInArrow(list_features, "id long, label int, tie long, features array<int>")
+    each = scratch.put(each.groupBy("id").agg(F.min_by(F.struct("label", "features"), "tie").alias("one")).select("id", F.xxhash64("id").alias("place"), "one.label", "one.features"), "features")
+    sizes = sorted((r["place"], r["id"], r["n"]) for r in each.select("place", "id", F.size("features").alias("n")).collect())  # max_rows at most
+    within = int(np.searchsorted(np.cumsum([n for _, _, n in sizes]), max_features, "right"))
+    learned = F.broadcast(docs.sparkSession.createDataFrame([(i,) for _, i, _ in sizes[:within]], "chosen long"))
+    sample = each.join(learned, F.col("id") == F.col("chosen")).select("place", "id", "label", "features").toArrow().combine_chunks()
     learner = FTRL()
     if not sample.num_rows:
         return learner.sparse()
     lists = sample.column("features").combine_chunks()
     flat, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    label, place = sample.column("label").to_numpy(), sample.column("place").to_numpy()
-    order = np.argsort(place, kind="stable")
+    label = sample.column("label").to_numpy()
+    order = np.lexsort([sample.column("id").to_numpy(), sample.column("place").to_numpy()])
     for _ in range(EPOCHS):
         for k in order:
-            learner.learn(flat[off[k] : off[k + 1]], int(label[k] > 0))
+            learner.learn(flat[off[k] : off[k + 1]], int(label[k]))
     return learner.sparse()
 
 
