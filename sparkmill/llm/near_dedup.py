@@ -16,7 +16,7 @@ keys are formed. The tables are resolved in two turns:
 2. All tables, but only of elements that classes of several components share,
    and only for classes of which enough shingles occur in another component to
    allow a link at all (an exact bound). Elements with the same members are one.
-   Pairs that the pivot and the bound leave open are tried against more pivots,
+   Pairs that the pivot and exact bounds of their intersection leave open are tried against more pivots,
    ``GROWTH`` times as many each round and only across components, until all
    have been tried.
 
@@ -47,6 +47,8 @@ from sparkmill.llm.textkit import U, mix, per_doc, shingles, slices
 
 WIDTH = 2
 GROWTH = 64
+#: Groups of shingles, by hash, of which a class has counts: two sets share at most the sum of the smaller counts.
+SHARES = 32
 
 
 def document_sets(s, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,14 +198,17 @@ class _Linker:
         return self.scratch.put(made.where("size(x) > 0 AND size(y) > 0"), "open-classes")
 
     def bounded(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``c``, the number of their shingles that another component has too; those that it rules out are left out.
+        """``rows`` with ``c``, the number of their shingles that another component has too, and ``shares``, these by groups of shingles.
 
-        A link needs ``percent`` of the larger set in common, so of either set.
+        A link needs ``percent`` of the larger set in common, so of either set: classes with fewer are left out.
         """
         each = rows.select("cls", "root").join(self.sets, F.col("cls") == F.col("id")).select("cls", "root", F.explode("shingles").alias("shingle"))
         mixed = each.groupBy(F.col("shingle").alias("__shingle")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("__shingle")
-        counted = each.join(mixed, F.col("shingle") == F.col("__shingle")).groupBy(F.col("cls").alias("__cls")).agg(F.count("*").alias("c"))
-        return self.scratch.put(rows.join(counted, F.col("cls") == F.col("__cls")).where(100 * F.col("c") >= self.percent * F.col("n")).drop("__cls", "x", "y"), "bounded")
+        counted = each.join(mixed, F.col("shingle") == F.col("__shingle")).groupBy(F.col("cls").alias("__cls"), F.col("shingle").bitwiseAND(F.lit(SHARES - 1)).cast("int").alias("share")).agg(F.count("*").cast("int").alias("held"))
+        counted = counted.groupBy("__cls").agg(F.sum("held").alias("c"), F.map_from_entries(F.collect_list(F.struct("share", "held"))).alias("held"))
+        able = rows.join(counted, F.col("cls") == F.col("__cls")).where(100 * F.col("c") >= self.percent * F.col("n"))
+        shares = F.transform(F.sequence(F.lit(0), F.lit(SHARES - 1)), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0)))
+        return self.scratch.put(able.withColumn("shares", shares).drop("__cls", "held", "x", "y"), "bounded")
 
     def link(self, sides: DataFrame) -> DataFrame:
         """(node, root) of all classes that are linked."""
@@ -213,10 +218,10 @@ class _Linker:
         able = self.bounded(self.open_elements(put(state, "state")))
         able = self.open_elements(able, merge=True)
         # A pair meets in several tables; it is tried in that of the first x and the first y it shares.
-        rows = able.select("cls", "n", "score", "root", "c", "x", "y", F.explode("x").alias("xk")).select("*", F.explode("y").alias("yk"))
-        rows = put(rows.select(F.xxhash64("xk", "yk").alias("bucket"), "xk", "yk", "cls", "n", "score", "root", "c", "x", "y", _order(F.col("cls")).alias("spot")), "tables")
+        rows = able.select("cls", "n", "score", "root", "c", "shares", "x", "y", F.explode("x").alias("xk")).select("*", F.explode("y").alias("yk"))
+        rows = put(rows.select(F.xxhash64("xk", "yk").alias("bucket"), "xk", "yk", "cls", "n", "score", "root", "c", "shares", "x", "y", _order(F.col("cls")).alias("spot")), "tables")
         made = rows.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("score", "spot", "cls", "n", "root")).alias("pivot")).where("low <> high").select("__bucket", "pivot")
-        rows = put(rows.join(made, F.col("bucket") == F.col("__bucket")).select("bucket", "xk", "yk", "cls", "n", "root", "c", "x", "y", "spot", F.col("pivot.cls").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.root").alias("pivot_root")), "members")
+        rows = put(rows.join(made, F.col("bucket") == F.col("__bucket")).select("bucket", "xk", "yk", "cls", "n", "root", "c", "shares", "x", "y", "spot", F.col("pivot.cls").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.root").alias("pivot_root")), "members")
         pairs = rows.where("cls <> pivot").where(self._close("n", "pivot_n")).select(F.col("pivot").alias("p"), F.col("cls").alias("m"), F.col("pivot_root").alias("u"), F.col("root").alias("v")).distinct()
         tried = self.confirm(pairs)
         roots, step = self.contract(roots, tried)
@@ -226,7 +231,7 @@ class _Linker:
         known = tried.select(F.col("p").alias("__p"), F.col("m").alias("__m"), "common").distinct()
         rest = rows.where("cls <> pivot").join(known, (F.col("pivot") == F.col("__p")) & (F.col("cls") == F.col("__m")), "left")
         outside = F.when(F.col("root") == F.col("pivot_root"), F.least("c", F.col("n") - F.col("common"))).otherwise(F.col("c") - F.col("common"))
-        rest = rest.select("bucket", "xk", "yk", "cls", "n", "root", "c", "x", "y", "spot", F.coalesce("common", "c").alias("near"), F.coalesce(outside, "c").alias("far"))
+        rest = rest.select("bucket", "xk", "yk", "cls", "n", "root", "c", "shares", "x", "y", "spot", F.coalesce("common", "c").alias("near"), F.coalesce(outside, "c").alias("far"))
         reach = GROWTH
         while True:
             rest = self.undecided(rest, step)
@@ -235,12 +240,13 @@ class _Linker:
                 return roots
             place = F.col("spot") * F.col("size")
             pivots = rest.where((place >= (0 if reach == GROWTH else reach // GROWTH)) & (place < reach))
-            pivots = pivots.select(F.col("bucket").alias("__b"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("near").alias("pnear"), F.col("far").alias("pfar"), F.col("spot").alias("pspot"), F.col("root").alias("proot"), F.col("x").alias("px"), F.col("y").alias("py"))
+            pivots = pivots.select(F.col("bucket").alias("__b"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("near").alias("pnear"), F.col("far").alias("pfar"), F.col("spot").alias("pspot"), F.col("root").alias("proot"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("shares").alias("pshares"))
             later = (F.col("spot") > F.col("pspot")) | ((F.col("spot") == F.col("pspot")) & (F.col("cls") > F.col("p")))
             inside = F.least(F.least("c", "pc"), F.least("near", "pnear") + F.least("far", "pfar"))
             able = self._close("n", "pn") & self._reach(inside, F.col("n") + F.col("pn"))
             here = (F.array_min(F.array_intersect("x", "px")) == F.col("xk")) & (F.array_min(F.array_intersect("y", "py")) == F.col("yk"))
-            open_pairs = rest.join(pivots, (F.col("bucket") == F.col("__b")) & (F.col("root") != F.col("proot")) & later & able & here)
+            shared = F.aggregate(F.zip_with("shares", "pshares", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+            open_pairs = rest.join(pivots, (F.col("bucket") == F.col("__b")) & (F.col("root") != F.col("proot")) & later & able & here & self._reach(shared, F.col("n") + F.col("pn")))
             pairs = put(open_pairs.select("p", F.col("cls").alias("m"), F.col("proot").alias("u"), F.col("root").alias("v")), "round")
             roots, step = self.contract(roots, self.confirm(pairs))
             if most <= reach:
