@@ -15,7 +15,9 @@ role and text are; of repeated rows for one turn the smallest (role, text)
 counts; null text is empty, a null role is ``unknown``; rows without a
 conversation or turn belong to no conversation and give no segment; a pair
 whose other side has no turns, or with equal conversations, is all completion,
-or all prompt; a pair that names a missing side as null is kept with that side empty.
+or all prompt; a pair that names a missing side as null is kept with that side
+empty; turns of any length are rendered whole; empty tables give empty tables;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,9 +55,8 @@ def preference_segments(conversations: DataFrame, pairs: DataFrame, conv_col: st
 
     both = scratch.put(side("chosen").unionByName(side("rejected")), "sides")
     # A turn is common when both sides have it and their (role, text) agree.
-    marks = both.groupBy("pair_id", "turn").agg(F.count("*").alias("n"), F.min(F.xxhash64("said.role", "said.text")).alias("low"), F.max(F.xxhash64("said.role", "said.text")).alias("high"))
-    differs = (F.col("n") < 2) | (F.col("low") != F.col("high"))
-    ends = scratch.put(marks.groupBy("pair_id").agg(F.min(F.when(differs, F.col("turn"))).alias("split"), F.count("*").alias("turns")), "ends")
+    marks = scratch.put(both.groupBy("pair_id", "turn").agg(F.count("*").alias("n"), F.min("said").alias("low"), F.max("said").alias("high")).select("pair_id", "turn", ((F.col("n") < 2) | (F.col("low") != F.col("high"))).alias("differs")), "marks")
+    ends = scratch.put(marks.groupBy("pair_id").agg(F.min(F.when(F.col("differs"), F.col("turn"))).alias("split"), F.count("*").alias("turns")), "ends")
     shared = scratch.put(marks.join(ends.withColumnRenamed("pair_id", "__pair"), F.col("pair_id") == F.col("__pair")).where("split IS NULL OR turn < split").groupBy("pair_id").agg(F.count("*").alias("prompt_turns")), "shared")
     ends = scratch.put(ends.join(shared, "pair_id", "left").select(F.col("pair_id").alias("__pair"), "split", F.coalesce("prompt_turns", F.lit(0).cast("long")).alias("prompt_turns")), "splits")
     rows = both.join(ends, F.col("pair_id") == F.col("__pair"))

@@ -1,12 +1,14 @@
 """Packing token sequences by column generation for the cutting-stock problem.
 
 Documents are cut into pieces of ``capacity`` tokens and a shorter rest. The
-lengths of rests make a histogram of ``capacity / grain`` bins. A linear
-program over patterns (how many rests of each bin share a sequence) is solved
-by column generation: a revised simplex keeps the master, a knapsack dynamic
-programme over the dual prices finds the next pattern. Patterns are rounded
-down, what is left is packed first-fit decreasing, and the pieces of each bin,
-ranked, take the places that the patterns offer.
+lengths of pieces make a histogram: below ``EXACT`` tokens every length is a bin
+of its own, so that many tiny texts fill a sequence without padding; longer ones
+are rounded up to ``grain`` tokens. A linear program over patterns (how many
+pieces of each bin share a sequence) is solved by column generation: a revised
+simplex keeps the master, a knapsack dynamic programme over the dual prices
+finds the next pattern. Patterns are rounded down, what is left is packed
+first-fit decreasing, and the pieces of each bin, ranked, take the places that
+the patterns offer.
 
 The driver holds the histogram and the patterns only, both bounded by the
 number of bins. Ranks come from one counter per task and bin, so no group of
@@ -14,8 +16,8 @@ pieces meets in one task.
 
 Defined results: a null text is an empty document, which still has its end
 token; documents of any length are packed whole; a null id, repeated rows and
-ties are packed like any other row; an empty table gives an empty table; other
-columns are ignored.
+ties (equal lengths) are packed like any other row; an empty table gives an
+empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,12 @@ from sparkmill.llm.common import Scratch
 
 MAX_COLUMNS = 2000
 GAP = 5e-4
+EXACT = 64
+
+
+def rounded(length: int, grain: int, capacity: int) -> int:
+    """The bin of a length."""
+    return length if length < EXACT else min(-(-length // grain) * grain, capacity)
 
 
 def best_pattern(value: np.ndarray, most: int) -> tuple[float, np.ndarray]:
@@ -151,7 +159,7 @@ def places(demand: np.ndarray, most: int) -> list[tuple[int, int, int, int, int,
 def cut(vocabulary: str, capacity: int, grain: int, end_id: int, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokenise (doc_id, text) and cut; each piece gets the task's own rank in its bin."""
     encode, part = None, TaskContext.get().partitionId()
-    rank = [0] * (capacity // grain + 1)
+    rank = [0] * (capacity + 1)
     for batch in batches:
         encode = encode or encoder(vocabulary)
         source, start, length, crc, total, bins, ranks, kept = [], [], [], [], [], [], [], []
@@ -159,7 +167,7 @@ def cut(vocabulary: str, capacity: int, grain: int, end_id: int, with_ids: bool,
             ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
             for a in range(0, len(ids), capacity):
                 piece = ids[a : a + capacity]
-                size = -(-len(piece) // grain)
+                size = rounded(len(piece), grain, capacity)
                 source.append(row)
                 start.append(a)
                 length.append(len(piece))
@@ -180,8 +188,6 @@ def cut(vocabulary: str, capacity: int, grain: int, end_id: int, with_ids: bool,
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, grain: int = 8, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
-    if capacity % grain:
-        raise ValueError("capacity must be a multiple of grain")
     scratch = Scratch(docs.sparkSession, "pack")
     spark = docs.sparkSession
 
@@ -192,13 +198,12 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, grain: int = 8,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = scratch.put(rows.mapInArrow(run, schema), "pieces")
     counts = scratch.put(pieces.groupBy("bin", "part").agg(F.count("*").alias("n")), "counts")
-    bins = capacity // grain
-    demand = np.zeros(bins, np.int64)
-    for b, n in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most ``bins`` rows
+    demand = np.zeros(capacity, np.int64)
+    for b, n in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows
         demand[b - 1] = n
     before = Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = scratch.put(counts.select(F.col("bin").alias("__bin"), F.col("part").alias("__part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base")), "base")
-    table = places(demand, bins)
+    table = places(demand, capacity)
     offered = F.broadcast(spark.createDataFrame(table, "__size long, __lo long, __hi long, __first long, __each long, __slot long"))
     ranked = pieces.join(base, (F.col("bin") == F.col("__bin")) & (F.col("part") == F.col("__part"))).withColumn("rank", F.col("rank") + F.col("__base"))
     placed = ranked.join(offered, (F.col("bin") == F.col("__size")) & (F.col("rank") >= F.col("__lo")) & (F.col("rank") < F.col("__hi")))
