@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmill.operators import joins
+
 
 def filter_all(df: DataFrame, *predicates: Column | str) -> DataFrame:
     """All predicates hold."""
@@ -54,8 +56,10 @@ def top_n(df: DataFrame, keys: Sequence[str | Column], n: int, offset: int = 0)
 
 
 def limit_percent(df: DataFrame, keys: Sequence[str | Column], percent: float) -> DataFrame:
-    """The first ``percent`` of the rows in a total order (a count, then top-n)."""
-    return top_n(df, keys, int(df.count() * percent / 100))
+    """The first ``percent`` of the rows in a total order, by position: no task holds more than a range of them."""
+    order = [ordering(k) if isinstance(k, str) else k for k in keys]
+    numbered = joins.with_position(df, order, "__position", "__total")
+    return numbered.where(F.col("__position") < F.floor(F.col("__total") * F.lit(percent / 100))).drop("__position", "__total")
 
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

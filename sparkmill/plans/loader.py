@@ -1,6 +1,6 @@
 """Structured plans: nested dicts (or their JSON) to DataFrames.
 
-Nodes: read, filter, project, join, aggregate, sort, fetch, set. Expressions:
+Nodes: read, filter, project, join, cross, aggregate (with ``having``), distinct, window, sort, fetch, set. Expressions:
 ``{"col": name}``, ``{"lit": value}``, ``{"cast": [expr, type]}``,
 ``{"case": [[when, then], ...], "else": expr}``, ``{"in": [expr, [values]]}`` and
 ``{"call": [function, expr, ...]}`` for operators and functions by name.
@@ -12,7 +12,7 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmill.operators import relational
@@ -23,6 +23,7 @@ _BINARY: dict[str, Callable[[Column, Column], Column]] = {
     "and": lambda a, b: a & b, "or": lambda a, b: a | b, "is not distinct from": lambda a, b: a.eqNullSafe(b),
 }
 _AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": F.count_distinct, "first": F.first}
+_RANKS: dict[str, Callable[[], Column]] = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank, "cume_dist": F.cume_dist}
 
 
 def expression(e) -> Column:
@@ -56,9 +57,12 @@ def expression(e) -> Column:
     return F.call_function(name, *columns)
 
 
-def _aggregate(name: str, a: dict) -> Column:
-    made = F.count(F.lit(1)) if a["fn"] == "count_star" else _AGGREGATES[a["fn"]](expression(a["arg"]))
-    return made.alias(name)
+def _aggregate(a: dict) -> Column:
+    return F.count(F.lit(1)) if a["fn"] == "count_star" else _AGGREGATES[a["fn"]](expression(a["arg"]))
+
+
+def _sort_keys(keys: list[dict]) -> list[Column]:
+    return [relational.ordering(k["col"], k.get("desc", False), k.get("nulls_first", False)) for k in keys]
 
 
 def load(plan: dict | str, tables: Callable[[str], DataFrame]) -> DataFrame:
@@ -78,13 +82,23 @@ def load(plan: dict | str, tables: Callable[[str], DataFrame]) -> DataFrame:
         left, right = load(plan["left"], tables), load(plan["right"], tables)
         return relational.join(left, right, expression(plan["condition"]), plan.get("how", "inner"))
     if kind == "aggregate":
-        return relational.aggregate(under, plan.get("keys", []), [_aggregate(n, a) for n, a in plan.get("aggregates", {}).items()])
+        made = relational.aggregate(under, plan.get("keys", []), [_aggregate(a).alias(n) for n, a in plan.get("aggregates", {}).items()])
+        return relational.filter_all(made, *[expression(p) for p in plan.get("having", [])])
+    if kind == "cross":
+        return load(plan["left"], tables).crossJoin(load(plan["right"], tables))
+    if kind == "distinct":
+        return relational.distinct_on(under, plan["keys"], _sort_keys(plan["order"])) if "keys" in plan else under.distinct()
+    if kind == "window":
+        over = Window.partitionBy(*plan.get("keys", [])).orderBy(*_sort_keys(plan.get("order", [])))
+        if "rows" in plan:
+            over = over.rowsBetween(*[Window.unboundedPreceding if b == "first" else Window.unboundedFollowing if b == "last" else b for b in plan["rows"]])
+        return under.select("*", *[(_RANKS[a["fn"]]() if a["fn"] in _RANKS else _aggregate(a)).over(over).alias(n) for n, a in plan["columns"].items()])
     if kind == "sort":
-        return under.orderBy(*[relational.ordering(k["col"], k.get("desc", False), k.get("nulls_first", False)) for k in plan["keys"]])
+        return under.orderBy(*_sort_keys(plan["keys"]))
     if kind == "fetch":
         out = under.offset(plan["offset"]) if plan.get("offset") else under
         return out.limit(plan["count"])
     if kind == "set":
         left, right = load(plan["left"], tables), load(plan["right"], tables)
-        return {"union_all": left.unionByName, "intersect": left.intersect, "except": left.subtract}[plan["kind"]](right)
+        return {"union_all": left.unionByName, "union": lambda r: left.unionByName(r).distinct(), "intersect": left.intersect, "intersect_all": left.intersectAll, "except": left.subtract, "except_all": left.exceptAll}[plan["kind"]](right)
     raise ValueError(f"unknown plan node {kind!r}")

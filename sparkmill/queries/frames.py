@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkmill.functions.exact import exact_sum
 from sparkmill.operators import joins, relational
 from sparkmill.session import Engine
-from sparkmill.sources import tables
+from sparkmill.sources import scratch, tables
 from sparkmill.sources.tables import table
 from sparkmill.streaming import windows
 
@@ -31,15 +31,39 @@ def registered(oracle: str) -> Callable[[Query], Query]:
 @registered("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as delimited text to the session's scratch folder and read with a schema."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    path = f"{root.rstrip('/')}/csv-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = scratch.place(spark, "csv")
     nation = table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     tables.write_delimited(nation, path)
     return tables.delimited(spark, path, nation.schema)
 
 
+@registered("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice > 200000")
+def copy_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's result, written in folders by a column and read again."""
+    path = scratch.place(spark, "copy")
+    Engine(spark).register(sf_dir, ["orders"]).copy_out("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice > 200000", path, partition_by=["o_orderstatus"])
+    return tables.parquet(spark, path)
+
+
+@registered("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09)")
+def join_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem", ["l_suppkey"], [F.col("l_quantity") == 50, F.col("l_discount") > 0.09])
+    return joins.not_in(table(spark, sf_dir, "supplier", ["s_suppkey"]), lines, "s_suppkey", "l_suppkey")
+
+
+@registered("""
+SELECT p_partkey, p_retailprice < ANY (SELECT s_acctbal FROM supplier) AS below_one, p_retailprice > ALL (SELECT s_acctbal FROM supplier) AS above_all,
+p_size = ANY (SELECT s_nationkey FROM supplier) AS in_one, p_size <> ALL (SELECT s_nationkey FROM supplier) AS in_none, p_size >= ALL (SELECT s_nationkey FROM supplier WHERE s_suppkey < 0) AS of_nothing FROM part
+""")
+def join_any_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, suppliers = table(spark, sf_dir, "part", ["p_partkey", "p_retailprice", "p_size"]), table(spark, sf_dir, "supplier", ["s_suppkey", "s_acctbal", "s_nationkey"])
+    out = joins.quantified(part, suppliers, "p_retailprice", "<", "any", "s_acctbal", "below_one")
+    out = joins.quantified(out, suppliers, "p_retailprice", ">", "all", "s_acctbal", "above_all")
+    out = joins.quantified(out, suppliers, "p_size", "=", "any", "s_nationkey", "in_one")
+    out = joins.quantified(out, suppliers, "p_size", "<>", "all", "s_nationkey", "in_none")
+    return joins.quantified(out, suppliers.where("s_suppkey < 0"), "p_size", ">=", "all", "s_nationkey", "of_nothing").drop("p_retailprice", "p_size")
+
+
 @registered("SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey")
 def join_theta_lt(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
@@ -61,7 +85,7 @@ ON c.user_id = p.user_id AND c.ts >= p.ts
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events", ["event_id", "user_id", "ts", "event_type"])
     clicks, views = events.where("event_type = 'click'").drop("event_type"), events.where("event_type = 'view'").withColumnRenamed("event_id", "last_view").withColumnRenamed("ts", "seen")
-    return joins.asof_join(clicks, views, ["user_id"], "ts", "seen", ["last_view"], ["last_view"]).select("event_id", "last_view")
+    return joins.asof_join(clicks, views, ["user_id"], "ts", "seen", ["last_view"], ["last_view"], width=86400).select("event_id", "last_view")
 
 
 @registered("SELECT p_partkey, s_suppkey FROM part JOIN (SELECT s_suppkey, s_acctbal AS lo, s_acctbal + 15.0 AS hi FROM supplier) s ON p_retailprice >= lo AND p_retailprice < hi")
@@ -126,9 +150,10 @@ def array_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dims"), F.get("embedding", F.lit(0)).cast("double").alias("head"))
 
 
-@registered("SELECT event_id, props IS NOT NULL AND json_valid(props) AS valid FROM events")
+@registered("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.none') IS NULL AS lacks FROM events")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events", ["event_id", "props"]).select("event_id", F.get_json_object("props", "$").isNotNull().alias("valid"))
+    events = table(spark, sf_dir, "events", ["event_id", "props"])
+    return events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.none").isNull().alias("lacks"))
 
 
 @registered("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -136,6 +161,21 @@ def tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.tumbling(table(spark, sf_dir, "events", ["ts", "event_type"]), "1 day", ["event_type"], [F.count("*").alias("n")])
 
 
+@registered("SELECT date_trunc('day', ts) - to_days(CAST(back AS INTEGER)) AS window_start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS back) GROUP BY 1, 2")
+def sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.tumbling(table(spark, sf_dir, "events", ["ts", "event_type"]), "2 days", ["event_type"], [F.count("*").alias("n")], slide="1 day")
+
+
+@registered("SELECT cast(floor(stddev_samp(p_size) * 1000) AS bigint) AS sd, cast(median(p_size) AS double) AS mid, cast(quantile_cont(p_size, 0.25) AS double) AS low FROM part")
+def agg_ungrouped_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part", ["p_size"]).agg(F.floor(F.stddev_samp("p_size") * 1000).alias("sd"), F.median("p_size").alias("mid"), F.percentile("p_size", 0.25).alias("low"))
+
+
+@registered("SELECT string_agg(r_name, ', ' ORDER BY r_name) AS names FROM region")
+def string_agg_ungrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region", ["r_name"]).agg(F.array_join(F.array_sort(F.collect_list("r_name")), ", ").alias("names"))
+
+
 @registered("""
 WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m)
@@ -161,10 +201,29 @@ def prepared_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).register(sf_dir, ["orders"]).sql("SELECT o_orderkey FROM orders WHERE o_totalprice > :least AND o_orderstatus = :status", least=300000, status="F")
 
 
+@registered("SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 AND o_orderstatus = 'O'")
+def prepared_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark).register(sf_dir, ["orders"])
+    engine.sql("PREPARE dear AS SELECT o_orderkey FROM orders WHERE o_totalprice > ? AND o_orderstatus = ?")
+    return engine.sql("EXECUTE dear(300000, 'O')")
+
+
+@registered("SELECT n_name, r_name, rank() OVER (PARTITION BY r_name ORDER BY n_name) AS place FROM nation, region WHERE n_regionkey = r_regionkey AND r_name IN (SELECT r_name FROM region WHERE r_regionkey > 1)")
+def structured_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan entry: cross join, filter, semi join and a window from a nested dict."""
+    read = lambda t: {"op": "read", "table": t}
+    some = {"op": "project", "columns": {"wanted": {"col": "r_name"}}, "input": {"op": "filter", "predicates": [{"call": [">", {"col": "r_regionkey"}, 1]}], "input": read("region")}}
+    pairs = {"op": "filter", "predicates": [{"call": ["=", {"col": "n_regionkey"}, {"col": "r_regionkey"}]}], "input": {"op": "cross", "left": read("nation"), "right": read("region")}}
+    semi = {"op": "join", "how": "left_semi", "condition": {"call": ["=", {"col": "r_name"}, {"col": "wanted"}]}, "left": pairs, "right": some}
+    ranked = {"op": "window", "keys": ["r_name"], "order": [{"col": "n_name"}], "columns": {"place": {"fn": "rank"}}, "input": semi}
+    out = Engine(spark).register(sf_dir, ["nation", "region"]).from_plan({"op": "project", "columns": {"n_name": {"col": "n_name"}, "r_name": {"col": "r_name"}, "place": {"cast": [{"col": "place"}, "long"]}}, "input": ranked})
+    return out
+
+
 @registered("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def cached_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, cache_size="1 GB").register(sf_dir, ["customer"])
-    return engine.cache("customer", ["c_mktsegment"]).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    return engine.cache("customer", ["c_mktsegment"], "segments").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
 @registered("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 3")
