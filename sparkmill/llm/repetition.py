@@ -65,7 +65,8 @@ class Measured:
         room = np.repeat(bounds[1:], self.n_words) - np.arange(len(words))  # words from here to the end
         for n in sorted({3, *lengths}):
             for j in range(last, n):  # extend every window by one word
-                rolled[: len(words) - j] += words[j:] * U(power)
+                if j < len(words):
+                    rolled[: len(words) - j] += words[j:] * U(power)
                 power = power * _ROLL % (1 << 64)
             last = n
             fits = np.flatnonzero(room >= n)
