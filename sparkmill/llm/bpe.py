@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -141,15 +142,23 @@ _LONG = regex.compile(r"\s{%d,}" % LONG_RUN)
 
 
 def encoder(path: str):
-    """A function from a text to its ids as the ``tokenizers`` library gives them, without added begin or end."""
+    """A function from a text to its ids as the ``tokenizers`` library gives them, without added begin or end; made once a process."""
+    # Functions travel by value, so a module's own variables are new in every task: what outlives one hangs on ``sys``.
+    made = sys.__dict__.setdefault("_sparkmill_encoders", {})
+    if path not in made:
+        made[path] = _encoder(path)
+    return made[path]
+
+
+def _encoder(path: str):
     import tiktoken
 
     vocab = Vocabulary(path)
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocab.ids, special_tokens=vocab.added)
-    allowed = set(vocab.added)
+    added, allowed = vocab.added, set(vocab.added)
     plain = lambda text: own.encode(text, allowed_special=allowed, disallowed_special=())
 
-    split = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.added, key=len, reverse=True))) + ")").split if vocab.added else None
+    split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
 
     def encode(text: str) -> list[int]:
         if not _LONG.search(text):
@@ -157,7 +166,7 @@ def encoder(path: str):
         ids: list[int] = []
         for k, between in enumerate(split(text) if split else [text]):
             if k % 2:
-                ids.append(vocab.added[between])
+                ids.append(added[between])
                 continue
             for part, is_piece in long_runs(between):
                 ids += own._encode_single_piece(part) if is_piece else plain(part)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm import common  # noqa: F401 - sets how functions travel
+from sparkmill.llm import common
 from sparkmill.llm.textkit import per_doc, slices
 
 WINDOW, HIDDEN, WINDOWS_PER_DOC, BLOCK = 64, 8, 8, 2048
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([*out.columns, flags.slice(done, out.num_rows)], ["doc_id", "guess", "sure", "lettered"])
                 done += out.num_rows
 
-    out = rows.mapInArrow(run, "doc_id long, guess string, sure double, lettered boolean")
+    out = common.mapped(rows, run, "doc_id long, guess string, sure double, lettered boolean")
     return out.select("doc_id", F.when(F.col("lettered"), F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), F.when(F.col("lettered"), F.col("sure")).otherwise(F.lit(0.0)).alias("score"))
 
 

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from sparkmill.llm import common
 from sparkmill.llm.bpe import encoder
 from sparkmill.llm.common import Scratch
 
@@ -67,7 +68,7 @@ def counted(rows: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         return count(vocabulary, batches)
 
-    return rows.mapInArrow(run, StructType(rows.schema.fields[:-1]).add("tokens", LongType()))
+    return common.mapped(rows, run, StructType(rows.schema.fields[:-1]).add("tokens", LongType()))
 
 
 def weights(shares: dict[str, float], exponent: float) -> dict[str, float]:

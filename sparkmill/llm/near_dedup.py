@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm import bloom
+from sparkmill.llm import bloom, common
 from sparkmill.llm.common import Scratch
 from sparkmill.llm.components import components
 from sparkmill.llm.textkit import U, mix, per_doc, shingles, slices
@@ -139,7 +139,7 @@ class _Linker:
         wanted = self.scratch.put(sides.select(F.col("cls").alias("__cls")).distinct(), "wanted")
         k = self.k
         maybe = bloom.keep_possible(self.docs, F.col("id"), wanted, "__cls", self.scratch).select("id", "text")
-        sets = maybe.mapInArrow(lambda batches: full_sets(k, batches), "id long, shingles array<long>")
+        sets = common.mapped(maybe, lambda batches: full_sets(k, batches), "id long, shingles array<long>")
         exact = sets.join(wanted, F.col("id") == F.col("__cls"), "left_semi")
         return self.scratch.put(exact.groupBy("id", F.xxhash64("shingles").alias("__h")).agg(F.first("shingles").alias("shingles")).select("id", "shingles"), "sets")
 
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, elements: in
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     linker = _Linker(rows, k, percent, elements)
     put = linker.scratch.put
-    signed = put(rows.mapInArrow(lambda batches: signatures(k, elements, batches), "id long, n long, c1 long, c2 long, keys array<long>"), "signatures")
+    signed = put(common.mapped(rows, lambda batches: signatures(k, elements, batches), "id long, n long, c1 long, c2 long, keys array<long>"), "signatures")
     live = signed.where("n > 0 AND id IS NOT NULL")
     classes = put(live.groupBy("c1", "c2").agg(F.min("id").alias("cls"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
     sides = linker.sides(classes)

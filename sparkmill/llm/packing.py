@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmill.llm import common
 from sparkmill.llm.bpe import encoder
 from sparkmill.llm.common import Scratch
 
@@ -196,7 +197,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, grain: int = 8,
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin long, rank long, part long" + ", ids array<int>" * with_ids
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = scratch.put(rows.mapInArrow(run, schema), "pieces")
+    pieces = scratch.put(common.mapped(rows, run, schema), "pieces")
     counts = scratch.put(pieces.groupBy("bin", "part").agg(F.count("*").alias("n")), "counts")
     demand = np.zeros(capacity, np.int64)
     for b, n in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm import common  # noqa: F401 - sets how functions travel
+from sparkmill.llm import common
 from sparkmill.llm.textkit import U, Slice, mix, owners, per_doc, slices
 
 #: Words per n-gram, and the largest share of characters inside repeated ones.
@@ -121,4 +121,4 @@ def judge_repetition(docs: DataFrame, limits: dict[int, float] | None = None, li
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, line_coverage double"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema + "".join(f", coverage_{n} double" for n in limits))
+    return common.mapped(rows, run, schema + "".join(f", coverage_{n} double" for n in limits))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm import common  # noqa: F401 - sets how functions travel
+from sparkmill.llm import common
 from sparkmill.llm.bpe import count_batches
 
 
@@ -24,4 +24,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
         return count_batches(vocabulary, batches)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return common.mapped(rows, run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_features
     some = scratch.put(some.orderBy(F.xxhash64("wanted"), "wanted").limit(max_rows), "labels")  # bounded, so it can be broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     rows = texts.join(F.broadcast(some), F.col("id") == F.col("wanted")).select("id", "label", F.xxhash64("text").alias("tie"), "text")
-    each = rows.mapInArrow(list_features, "id long, label int, tie long, features array<int>")
+    each = common.mapped(rows, list_features, "id long, label int, tie long, features array<int>")
     each = scratch.put(each.groupBy("id").agg(F.min_by(F.struct("label", "features"), "tie").alias("one")).select("id", F.xxhash64("id").alias("place"), "one.label", "one.features"), "features")
     sizes = sorted((r["place"], r["id"], r["n"]) for r in each.select("place", "id", F.size("features").alias("n")).collect())  # max_rows at most
     within = int(np.searchsorted(np.cumsum([n for _, _, n in sizes]), max_features, "right"))
@@ -126,5 +126,5 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_features
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(lambda batches: score_batches(model, batches), "doc_id long, score double")
+    out = common.mapped(rows, lambda batches: score_batches(model, batches), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
